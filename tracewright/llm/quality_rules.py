@@ -6,6 +6,7 @@ Every line with a word is judged alone and removed if one of these holds:
 * shouting: it has 20 or more upper-case letters, and they are 70 % or more of its cased letters;
 * navigation: three or more items are joined by bars, bullets or breadcrumb arrows;
 * boilerplate: a phrase of `BOILERPLATE` is in it and it has at most 40 words;
+* stutter: it has 8 or more words, and half or more of them repeat the word before;
 * punctuation: it has 8 or more words and no full stop, question or exclamation mark, ellipsis, colon or their like.
 
 A document is rejected when it fails the base rule of the contract, when it has no line left, or when the lines removed
@@ -66,7 +67,9 @@ def repeat_words(ws: Column, window: int = WINDOW) -> Column:
 def good_line(line: Column) -> Column:
     """True unless a rule removes the line."""
     low = F.lower(line)
-    n_words = F.size(F.split(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")), " "))
+    ws = words(line)
+    n_words = F.size(ws)
+    echoes = let(ws, lambda w: F.size(F.filter(w, lambda x, i: (i > 0) & (x == F.get(w, i - 1)))))
     symbols = count_of(line, SYMBOLS)
     upper = F.length(F.regexp_replace(line, r"[^\p{Lu}]+", ""))
     cased = F.length(F.regexp_replace(line, r"[^\p{Lu}\p{Ll}]+", ""))
@@ -76,8 +79,9 @@ def good_line(line: Column) -> Column:
     phrase = F.lit(False)
     for p in BOILERPLATE:
         phrase = phrase | F.contains(low, F.lit(p))
+    stutter = (n_words >= 8) & (echoes * 2 >= n_words)
     bare = (n_words >= 8) & ~line.rlike(r"[.!?:;…。！？]")
-    return ~(symbol_heavy | shouting | navigation | ((n_words <= 40) & phrase) | bare)
+    return ~(symbol_heavy | shouting | navigation | ((n_words <= 40) & phrase) | stutter | bare)
 
 
 def word_chars(text: Column) -> Column:
@@ -125,7 +129,7 @@ p AS (SELECT k, i, lead(i) OVER (PARTITION BY k ORDER BY i) AS nx FROM g WHERE n
 r AS (SELECT k, sum(least(coalesce(nx - i, 8), 8))::BIGINT AS n_repeat_words FROM p GROUP BY k),
 lines AS (SELECT k, unnest(ls) AS l FROM w),
 measured AS (
-  SELECT k, l, len(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')) AS wc, len(l) AS n,
+  SELECT k, l, list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS lw, len(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')) AS wc, len(l) AS n,
          len(list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS nw,
          len(regexp_replace(l, '[^#*$%&|<>]+', '', 'g')) AS sy, len(regexp_replace(l, '[^\p{{Lu}}]+', '', 'g')) AS up,
          len(regexp_replace(l, '[^\p{{Lu}}\p{{Ll}}]+', '', 'g')) AS ca,
@@ -133,7 +137,7 @@ measured AS (
 c AS (
   SELECT k, sum(wc)::BIGINT AS chars_left FROM measured
   WHERE NOT (sy * 10 >= n OR (sy * 2 >= nw AND sy >= 2) OR (up >= 20 AND up * 10 >= ca * 7) OR nav >= 2 OR (nw <= 40 AND ({_ANY}))
-             OR (nw >= 8 AND NOT regexp_matches(l, '[.!?:;\x{{2026}}\x{{3002}}\x{{ff01}}\x{{ff1f}}]'))) GROUP BY k),
+             OR (nw >= 8 AND len(list_filter(range(2, nw + 1), lambda i: lw[i] = lw[i - 1])) * 2 >= nw) OR (nw >= 8 AND NOT regexp_matches(l, '[.!?:;\x{{2026}}\x{{3002}}\x{{ff01}}\x{{ff1f}}]'))) GROUP BY k),
 a AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words, len(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
          len(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,

@@ -1,11 +1,14 @@
 """The queries of this folder and the SQL of those that SQL can express."""
 
-from . import mixing, quality_rules, url_filter
+from . import mixing, packing, quality_classifier, quality_rules, token_counts, url_filter
 
 QUERIES = {
+    "op2_quality_classifier": quality_classifier.op2_quality_classifier,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op6_packing": packing.op6_packing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_mixing": mixing.op8_mixing,
+    "op9_token_counts": token_counts.op9_token_counts,
 }
 ORACLES = {
     "op5_url_filter": url_filter.ORACLE_SQL,
