@@ -1,9 +1,11 @@
 """The queries of this folder and the SQL of those that SQL can express."""
 
-from . import mixing, packing, quality_classifier, quality_rules, token_counts, url_filter
+from . import embedding_dedup, html_extraction, mixing, packing, quality_classifier, quality_rules, token_counts, url_filter
 
 QUERIES = {
     "op2_quality_classifier": quality_classifier.op2_quality_classifier,
+    "op3_html_extraction": html_extraction.op3_html_extraction,
+    "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_packing": packing.op6_packing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
