@@ -29,6 +29,7 @@ from .shared import SPACES, table, words
 
 MIN_WORDS, MAX_REPEAT_PCT, WINDOW, MAX_LOSS = 20, 30, 8, 0.4
 SYMBOLS = "#*$%&|<>"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars_left")
 #: Fixed phrases of menus and notices, as text.
 BOILERPLATE = ("all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "use cookies", "uses cookies", "enable javascript", "javascript is disabled", "click here", "read more", "sign in", "log in", "subscribe to our", "share this", "skip to content", "back to top", "lorem ipsum", "powered by")
 
@@ -88,29 +89,45 @@ def word_chars(text: Column) -> Column:
     return F.length(F.translate(text, SPACES, ""))
 
 
+def verdict(text: Column) -> Column:
+    """A struct of the counts and verdicts. Every intermediate is bound by `let`: a filter on a field that is pushed down
+    takes the whole expression with it, and must not evaluate the words once for each window."""
+
+    def measure(t: Column) -> Column:
+        lines = F.filter(F.split(t, "\n", -1), lambda x: word_chars(x) > 0)
+        counts = let(
+            words(t),
+            lambda w: let(
+                lines,
+                lambda ls: F.struct(
+                    F.size(w).cast("long").alias("n_words"),
+                    word_chars(t).cast("long").alias("word_chars"),
+                    count_of(t, SYMBOLS).cast("long").alias("n_symbols"),
+                    (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
+                    repeat_words(w).alias("n_repeat_words"),
+                    F.aggregate(F.filter(ls, good_line), F.lit(0).cast("long"), lambda a, x: a + word_chars(x)).alias("chars_left"),
+                ),
+            ),
+        )
+
+        def judge(m: Column) -> Column:
+            failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PCT * m["n_words"])
+            kept = ~failed & (m["chars_left"] > 0) & (m["chars_left"] >= (1 - MAX_LOSS) * m["word_chars"])
+            return F.struct(*[m[c].alias(c) for c in COUNTS], failed.alias("base_failed"), kept.alias("kept"))
+
+        return let(counts, judge)
+
+    return let(F.coalesce(text, F.lit("")), measure)
+
+
 def with_rules(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
     """The columns `keep` with the counts and verdicts of the rules."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: word_chars(x) > 0)
-    first = docs.select(*keep, text.alias("__text"), words(F.col("text")).alias("__words"), lines.alias("__lines"))
-    left = F.aggregate(F.filter("__lines", good_line), F.lit(0).cast("long"), lambda a, x: a + word_chars(x))
-    second = first.select(
-        *keep,
-        F.size("__words").cast("long").alias("n_words"),
-        word_chars(F.col("__text")).cast("long").alias("word_chars"),
-        count_of(F.col("__text"), SYMBOLS).cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("__words")).alias("n_repeat_words"),
-        left.alias("chars_left"),
-    )
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
-    return second.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("chars_left") > 0) & (F.col("chars_left") >= (1 - MAX_LOSS) * F.col("word_chars")))
+    return docs.select(*keep, verdict(F.col("text")).alias("__v")).select(*keep, "__v.*")
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that pass, as they were: whole texts, all columns."""
-    marked = docs.select(F.struct("*").alias("__row"), F.col("text"))
-    return with_rules(marked, ["__row"]).where("kept").select("__row.*")
+    return docs.where(verdict(F.col("text"))["kept"])
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
