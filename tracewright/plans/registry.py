@@ -1,0 +1,203 @@
+"""Queries over the alignment records, and the SQL they are held against: arrays here, exploded rows there."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import streams as S
+from ..functions import traces as T
+from ..operators import dictionary, selection
+from . import orders
+
+ITEMS = """items AS (SELECT l_orderkey AS record_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS i,
+  CAST(l_quantity AS BIGINT) AS a, CAST(l_quantity AS BIGINT) + l_linenumber % 3 - 1 AS b, l_partkey AS v,
+  CASE WHEN l_returnflag = 'N' THEN '=' WHEN l_returnflag = 'R' THEN 'X' WHEN l_linestatus = 'F' THEN 'I' ELSE 'D' END AS op FROM lineitem)"""
+
+
+def vs(x: str) -> str:
+    return "CASE " + " ".join(f"WHEN {x} < {1 << 7 * n} THEN {n}" for n in range(1, 9)) + " ELSE 9 END"
+
+
+def zz(x: str) -> str:
+    return f"(CASE WHEN {x} >= 0 THEN 2 * ({x}) ELSE -2 * ({x}) - 1 END)"
+
+
+def bits(x: str) -> str:
+    return f"(CASE WHEN {x} = 0 THEN 0 ELSE length(bin({x})) END)"
+
+
+def lagged(x: str, of: str = "v") -> str:
+    return f"lag({of}, 1, 0) OVER (PARTITION BY record_id ORDER BY i)" if x == "lag" else x
+
+
+D = f"d AS (SELECT *, v - {lagged('lag')} AS d, xor(v, {lagged('lag')}) AS x FROM items)"
+DD = f"e AS (SELECT *, d - {lagged('lag', 'd')} AS e FROM d)"
+
+
+def runs(c: str) -> str:
+    return f"""m AS (SELECT *, CASE WHEN i > 1 AND {c} = lag({c}) OVER (PARTITION BY record_id ORDER BY i) THEN 0 ELSE 1 END AS s FROM items),
+r AS (SELECT *, sum(s) OVER (PARTITION BY record_id ORDER BY i) AS g FROM m),
+g AS (SELECT record_id, g, any_value({c}) AS value, count(*) AS n FROM r GROUP BY record_id, g)"""
+
+
+def per_record(ctes: str, value: str, of: str, name: str = "size") -> str:
+    return f"WITH {ctes} SELECT record_id, CAST({value} AS BIGINT) AS {name} FROM {of} GROUP BY record_id"
+
+
+_COST = f"c AS (SELECT record_id, k, sum(({zz('d')} >> k) + 1 + k) AS cost FROM d, range(0, 17) t(k) GROUP BY record_id, k)"
+_DICT = f"CASE WHEN count(DISTINCT v) <= 256 THEN 2 + (SELECT sum({vs('y')}) FROM unnest(list_distinct(list(v))) u(y)) + count(*) ELSE 1 + sum({vs('v')}) END"
+SIZE_SQL = {
+    "raw": per_record(ITEMS, f"sum({vs('v')})", "items"),
+    "zigzag-delta": per_record(f"{ITEMS}, {D}", f"sum({vs(zz('d'))})", "d"),
+    "delta-of-delta": per_record(f"{ITEMS}, {D}, {DD}", f"sum({vs(zz('e'))})", "e"),
+    "xor-delta": per_record(f"{ITEMS}, {D}", f"sum({vs('x')})", "d"),
+    "rle": per_record(f"{ITEMS}, {runs('v')}", f"sum({vs('value')} + {vs('n')})", "g"),
+    "selective-rle": per_record(f"{ITEMS}, {runs('v')}", f"sum(CASE WHEN n >= 8 THEN 1 + {vs('value')} + {vs('n')} ELSE n * (1 + {vs('value')}) END)", "g"),
+    "bit-packed": per_record(ITEMS, f"1 + ceil(count(*) * greatest(1, {bits('max(v)')}) / 8.0)", "items"),
+    "frame-of-reference": per_record(ITEMS, f"{vs('min(v)')} + 1 + count(*) * CASE WHEN max(v) - min(v) < 256 THEN 1 WHEN max(v) - min(v) < 65536 THEN 2 WHEN max(v) - min(v) < 4294967296 THEN 4 ELSE 8 END", "items"),
+    "stream-vbyte": per_record(ITEMS, f"{vs('ceil(count(*) / 4.0)')} + ceil(count(*) / 4.0) + sum(greatest(1, ceil({bits('v')} / 8.0)))", "items"),
+    "dictionary": f"WITH {ITEMS}, u AS (SELECT record_id, sum({vs('v')}) AS s, count(*) AS n FROM (SELECT DISTINCT record_id, v FROM items) GROUP BY record_id), w AS (SELECT record_id, count(*) AS c, sum({vs('v')}) AS raw FROM items GROUP BY record_id) SELECT record_id, CAST(CASE WHEN n <= 256 THEN 2 + s + c ELSE 1 + raw END AS BIGINT) AS size FROM u JOIN w USING (record_id)",
+    "rice": f"WITH {ITEMS}, {D}, {_COST} SELECT record_id, CAST(1 + ceil(min(cost) / 8.0) AS BIGINT) AS size FROM c GROUP BY record_id",
+    "elias-fano": f"WITH {ITEMS}, s AS (SELECT record_id, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM items GROUP BY record_id), l AS (SELECT *, greatest(0, {bits('((s + 1) // n)')} - 1) AS l FROM s) SELECT record_id, CAST(1 + ceil((n * l + (s >> l) + n) / 8.0) AS BIGINT) AS size FROM l",
+}
+QUERIES, ORACLES = {}, {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+for _name, _size in S.SIZES.items():
+    query(f"codec_{_name.replace('-', '_')}_size", SIZE_SQL[_name])(lambda spark, d, f=_size: orders.streams(spark, d).select("record_id", f(F.col("v")).alias("size")))
+
+
+@query("codec_2d_delta_size", per_record(ITEMS, f"sum({vs(zz('(b - a)'))})", "items"))
+def pair_delta(spark, d):
+    return orders.streams(spark, d).select("record_id", S.pair_delta_size(F.col("a"), F.col("b")).alias("size"))
+
+
+@query("codec_hybrid_rle_size", f"WITH {ITEMS}, {runs('b')}, f AS (SELECT record_id, sum({vs('a')}) AS f FROM items GROUP BY record_id), h AS (SELECT record_id, sum({vs('value')} + {vs('n')}) AS s FROM g GROUP BY record_id) SELECT record_id, CAST(f + s AS BIGINT) AS size FROM f JOIN h USING (record_id)")
+def hybrid(spark, d):
+    return orders.streams(spark, d).select("record_id", S.hybrid_rle_size(F.col("a"), F.col("b")).alias("size"))
+
+
+@query("codec_cascaded_mode", f"WITH {ITEMS} SELECT record_id, CASE WHEN count(DISTINCT v) / count(*) < 0.01 THEN 1 ELSE 2 END AS mode FROM items GROUP BY record_id")
+def cascaded(spark, d):
+    return orders.streams(spark, d).select("record_id", S.cascaded_mode(F.col("v")).alias("mode"))
+
+
+@query("codec_rice_k", f"WITH {ITEMS}, {D}, {_COST} SELECT record_id, CAST(arg_min(k, cost * 100 + k) AS INTEGER) AS k, CAST(min(cost) AS BIGINT) AS cost FROM c GROUP BY record_id")
+def rice_k(spark, d):
+    return orders.streams(spark, d).select("record_id", S.rice_parameter(F.col("v")).alias("r")).select("record_id", "r.k", "r.cost")
+
+
+@query("codec_huffman_symbols", f"WITH {ITEMS}, {D}, h AS (SELECT record_id, {zz('d')} AS symbol, count(*) AS n FROM d GROUP BY ALL) SELECT record_id, symbol, n FROM h")
+def huffman_symbols(spark, d):
+    z = orders.streams(spark, d).select("record_id", F.explode(F.transform(S.deltas(F.col("v")), S.zigzag)).alias("symbol"))
+    return z.groupBy("record_id", "symbol").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("trace_format", f"WITH {ITEMS} SELECT record_id, string_agg(a || ',' || b, ';' ORDER BY i) AS trace FROM items GROUP BY record_id")
+def trace_format(spark, d):
+    t = F.transform("items", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.lit(None).cast("string").alias("op")))
+    return orders.records(spark, d).select("record_id", T.format_trace(t).alias("trace"))
+
+
+@query("trace_roundtrip", f"WITH {ITEMS} SELECT record_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(a) AS BIGINT) AS sum_a, CAST(sum(b) AS BIGINT) AS sum_b FROM items GROUP BY record_id")
+def trace_roundtrip(spark, d):
+    t = trace_format(spark, d).select("record_id", T.parse_trace(F.col("trace"), "standard").alias("t"))
+    return t.select("record_id", F.size("t").cast("bigint").alias("n"), S.total(F.col("t.a")).alias("sum_a"), S.total(F.col("t.b")).alias("sum_b"))
+
+
+def stats(spark, d):
+    text = F.array_join(F.transform("items", lambda x: F.concat(x["a"].cast("string"), x["op"])), "")
+    return orders.records(spark, d).select("record_id", S.let(T.parse_cigar(text), T.cigar_stats).alias("s"))
+
+
+_C = f"""{ITEMS}, c AS (SELECT record_id, CAST(coalesce(sum(a) FILTER (op = '='), 0) AS BIGINT) AS m, CAST(coalesce(sum(a) FILTER (op = 'X'), 0) AS BIGINT) AS x, count(*) FILTER (op = 'I') AS ni, count(*) FILTER (op = 'D') AS nd,
+  CAST(coalesce(sum(a) FILTER (op = 'I'), 0) AS BIGINT) AS bi, CAST(coalesce(sum(a) FILTER (op = 'D'), 0) AS BIGINT) AS bd, CAST(coalesce(sum(6 + 2 * a) FILTER (op IN ('I', 'D')), 0) AS BIGINT) AS g1, CAST(coalesce(sum(least(6 + 2 * a, 24 + a)) FILTER (op IN ('I', 'D')), 0) AS BIGINT) AS g2 FROM items GROUP BY record_id)"""
+
+
+@query("cigar_stats", f"WITH {_C} SELECT record_id, m AS matches, x AS mismatches, ni AS insertions, bi AS inserted_bp, nd AS deletions, bd AS deleted_bp FROM c")
+def cigar_stats(spark, d):
+    n = lambda c: F.size(f"s.{c}").cast("bigint").alias(c)
+    return stats(spark, d).select("record_id", "s.matches", "s.mismatches", n("insertions"), S.total(F.col("s.insertions")).alias("inserted_bp"), n("deletions"), S.total(F.col("s.deletions")).alias("deleted_bp"))
+
+
+@query("cigar_identities", f"WITH {_C} SELECT record_id, round(CAST(CAST(m / (m + x + ni + nd) AS FLOAT) AS DOUBLE), 6) AS gap_compressed, round(CAST(CAST(m / (m + x + bi + bd) AS FLOAT) AS DOUBLE), 6) AS block FROM c")
+def cigar_identities(spark, d):
+    r = lambda c: F.round(c.cast("double"), 6)
+    return stats(spark, d).select("record_id", r(T.gap_compressed_identity(F.col("s"))).alias("gap_compressed"), r(T.block_identity(F.col("s"))).alias("block"))
+
+
+@query("cigar_scores", f"WITH {_C} SELECT record_id, -(x + bi + bd) AS edit, -(4 * x + g1) AS affine, -(4 * x + g2) AS two_piece FROM c")
+def cigar_scores(spark, d):
+    s = F.col("s")
+    return stats(spark, d).select("record_id", T.edit_score(s).alias("edit"), T.affine_score(s, 4, (6, 2)).alias("affine"), T.affine_score(s, 4, (6, 2), (24, 1)).alias("two_piece"))
+
+
+_NAMES = f"""{ITEMS}, n AS (SELECT record_id, c_name AS query_name, 100000 + o_custkey AS query_len, p_name AS target_name, 1000 + p_partkey AS target_len
+  FROM items JOIN orders ON o_orderkey = record_id JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = v WHERE i = 1),
+p AS (SELECT 2 * record_id AS pos, query_name AS name, query_len AS length FROM n UNION ALL SELECT 2 * record_id + 1, target_name, target_len FROM n),
+f AS (SELECT name, min(pos) AS pos, arg_min(length, pos) AS length FROM p GROUP BY name),
+strings AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS id, name, CAST(length AS BIGINT) AS length FROM f)"""
+
+
+@query("string_table", f"WITH {_NAMES} SELECT id, name, length FROM strings")
+def string_table(spark, d):
+    return dictionary.string_table(orders.names(orders.named(spark, d)))
+
+
+@query("resolve_names", f"WITH {_NAMES} SELECT record_id, q.id AS query_name_id, query_name, q.length AS query_len, t.id AS target_name_id, target_name, t.length AS target_len FROM n JOIN strings q ON q.name = query_name JOIN strings t ON t.name = target_name")
+def resolve_names(spark, d):
+    r = orders.named(spark, d).select("record_id", "query_name", "target_name")
+    strings = dictionary.string_table(orders.names(orders.named(spark, d)))
+    for role in ("query", "target"):
+        r = r.join(strings.select(F.col("name").alias(f"{role}_name"), F.col("id").alias(f"{role}_name_id")), f"{role}_name")
+    return dictionary.resolve(r.select("record_id", "query_name_id", "target_name_id"), strings)
+
+
+@query("string_table_bytes", f"WITH {_NAMES} SELECT CAST(sum({vs('strlen(name)')}) AS BIGINT) AS length_bytes, CAST(sum(strlen(name)) AS BIGINT) AS name_bytes, CAST(sum({vs('length')}) AS BIGINT) AS seq_length_bytes, count(*) AS n FROM strings")
+def string_table_bytes(spark, d):
+    n = F.octet_length("name").cast("bigint")
+    return string_table(spark, d).agg(F.sum(S.varint_size(n)).alias("length_bytes"), F.sum(n).alias("name_bytes"), F.sum(S.varint_size(F.col("length"))).alias("seq_length_bytes"), F.count(F.lit(1)).alias("n"))
+
+
+@query("record_offsets", f"WITH {ITEMS}, z AS (SELECT record_id, sum({vs('a')} + {vs('b')}) AS n FROM items GROUP BY record_id) SELECT record_id, CAST(n AS BIGINT) AS length, CAST(coalesce(sum(n) OVER (ORDER BY record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM z")
+def record_offsets(spark, d):
+    sized = orders.streams(spark, d).select("record_id", (S.raw_size(F.col("a")) + S.raw_size(F.col("b"))).alias("length"))
+    return dictionary.exclusive_prefix(sized, "record_id", F.col("length"), "offset", 1 << 14).select("record_id", "length", "offset")
+
+
+_TOTALS = " UNION ALL ".join(f"SELECT '{k}' AS strategy, CAST(sum(size + {vs('size')}) AS BIGINT) AS total FROM ({v})" for k, v in SIZE_SQL.items())
+
+
+@query("benchmark_totals", _TOTALS)
+def benchmark_totals(spark, d):
+    return selection.totals(orders.streams(spark, d), "v")
+
+
+@query("benchmark_best", f"SELECT strategy, total FROM ({_TOTALS}) ORDER BY total, list_position({list(selection.STRATEGIES)}, strategy) LIMIT 1")
+def benchmark_best(spark, d):
+    return selection.best(benchmark_totals(spark, d))
+
+
+@query("sample_first_n", f"WITH {_NAMES} SELECT record_id, query_name, target_name FROM n WHERE record_id < 1000")
+def sample_first_n(spark, d):
+    return orders.named(spark, d).where("record_id < 1000").select("record_id", "query_name", "target_name")
+
+
+@query("point_lookup", f"WITH {ITEMS} SELECT record_id, string_agg(a || ',' || b, ';' ORDER BY i) AS trace FROM items WHERE record_id % 997 = 13 GROUP BY record_id")
+def point_lookup(spark, d):
+    return trace_format(spark, d).where("record_id % 997 = 13")
+
+
+@query("metadata_only", f"WITH {_NAMES} SELECT record_id, query_name, CAST(query_len AS BIGINT) AS query_len, target_name, CAST(target_len AS BIGINT) AS target_len, CASE WHEN record_id % 2 = 0 THEN '+' ELSE '-' END AS strand FROM n")
+def metadata_only(spark, d):
+    return orders.named(spark, d)
