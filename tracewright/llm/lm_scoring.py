@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .hashing import runs, shingles, text_bytes
+from .hashing import runs, shingles, squeeze, text_bytes, widen
 from .shared import materialize, table
 
 ORDER, MIN_COUNT, BACKOFF = 2, 2, 0.4
@@ -32,16 +32,6 @@ ORDER, MIN_COUNT, BACKOFF = 2, 2, 0.4
 BLOCKS, BUCKETS = 4, 2
 
 
-def squeeze(values: np.ndarray) -> bytes:
-    """Sorted 64-bit values as planes of bytes of their differences; the planes of high bytes are mostly zeros, which shuffles compress."""
-    return np.ascontiguousarray(np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def widen(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
-
-
 def grams(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Each word's text and place in it; by order, the hash of the n-gram that ends at each word (0: too few words before it)."""
     h, doc, _, _ = runs(*text_bytes(texts))

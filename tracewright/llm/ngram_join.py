@@ -8,9 +8,9 @@ A text's words are lower-cased (A-Z); its set are the hashes (64 bits) of its di
    parts than that, some part is equal in both (pigeonhole). Each set gives a signature per part; sets that share one
    are joined, to the smallest class with it, and the components of these pairs are the shards. Sizes are put in bands, so that
    partners use the same number of parts; a set whose partners may lie in the next band signs for that one too. Parts that are
-   empty are only signed by sets with so many empty parts that all equal parts could be empty. Below that percentage, and for
-   sets of fewer than `SHORT` shingles, a set signs for its rarest n - ceil(p n / 100) + 1 shingles instead: sets that link share one.
-   Rare is by the load of a shingle's cell in a table of fixed size over all documents, then by hash; any order gives the same links.
+   empty are only signed by sets with so many empty parts that all equal parts could be empty. Sets of fewer than `SHORT` shingles
+   sign for their first n - ceil(p n / 100) + 1 shingles by hash instead: sets that link share one. Below `LEAST_PARTS` percent, all
+   sets do so, in the order of the number of documents that hold a shingle, counted exactly (`counted_rows`).
 3. The shingles of a shard's sets are ordered by frequency in the shard. Sets that share none of their rarest shingles are told apart; the others are
    stored, most frequent shingle first, in compressed tries. For each set the trie is traversed once:
    overlaps with a path are counted once for all sets below it; a subtree is pruned when the overlap so far and the
@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import functools
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,11 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .hashing import PLACE, mix, parts, runs, shingles, text_bytes
+from .hashing import PLACE, mix, parts, runs, shingles, squeeze, text_bytes, widen
 from .shared import components, materialize, table
 
 K, PERCENT, BAND, BLOCK_SHINGLES, MAX_BROADCAST_ROWS = 3, 90, 1.6, 1_500_000, 100_000
-#: Bands from this size on sign for parts, if the percentage is LEAST_PARTS or more.
+#: Sets of SHORT shingles or more sign for parts, if the percentage is LEAST_PARTS or more.
 SHORT, LEAST_PARTS = 45, 85
 
 
@@ -59,11 +58,9 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
 @functools.cache
 def bands(percent: int, most: int = 1 << 40) -> list[tuple[int, int, int, int]]:
     """(smallest size, largest size, number of parts, empty parts that need no signature) per band; 0 parts: the band signs for
-    its rarest shingles."""
+    its shingles that come first by hash."""
     p, q, out = 100 - percent, 100 + percent, []
     low = next(n for n in range(1, 1000) if (2 * n - 1) * p >= q) if p else most
-    if percent < LEAST_PARTS and low < most:
-        return [(low, most, 0, 0)]
     while low < most:
         high = max(low, int(low * BAND))
         differ, spare = 2 * high * p // q, 1
@@ -76,8 +73,8 @@ def bands(percent: int, most: int = 1 << 40) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def signatures(s: np.ndarray, percent: int, load: np.ndarray | None = None) -> np.ndarray:
-    """The signatures of a set, for its band and, if partners may be there, the next. load: what `loads` gives."""
+def signatures(s: np.ndarray, percent: int) -> np.ndarray:
+    """The signatures of a set, for its band and, if partners may be there, the next."""
     n, out = len(s), []
     table_ = bands(percent)
     own = next((i for i, b in enumerate(table_) if n <= b[1]), len(table_))
@@ -91,8 +88,7 @@ def signatures(s: np.ndarray, percent: int, load: np.ndarray | None = None) -> n
         h = mix(s + PLACE[5])
         if m == 0:
             first = n - -(-percent * n // 100) + 1
-            order = np.argpartition(h, first - 1)[:first] if load is None else np.lexsort((h, load[s & np.uint64(len(load) - 1)]))[:first]
-            out.append(mix(h[order] + salt))
+            out.append(mix(np.partition(h, first - 1)[:first] + salt))
             continue
         part = (h % np.uint64(m)).astype(np.int64)
         total = np.zeros(m, np.uint64)
@@ -105,34 +101,6 @@ def signatures(s: np.ndarray, percent: int, load: np.ndarray | None = None) -> n
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def loads(docs: DataFrame, k: int, cells: int = 1 << 22, chunks: int = 64) -> np.ndarray:
-    """How many shingles of all documents fall in each of a fixed number of cells, up to 65535: a global order of
-    shingles in which what many documents share comes last. The result has a fixed size; tasks send it in compressed chunks, which
-    are added up on executors."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
-        for b in batches:
-            for s in shingle_sets(b.column(0), k):
-                np.add.at(total, (s & np.uint64(cells - 1)).astype(np.int64), 1)
-        small = np.minimum(total, 65535).astype(np.uint16).reshape(chunks, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in small], pa.binary())], ["chunk", "data"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
-        for b in batches:
-            for c, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                new = np.frombuffer(zlib.decompress(data), np.uint16).astype(np.int64)
-                totals[c] = np.minimum(totals[c] + new, 65535) if c in totals else new
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([zlib.compress(t.astype(np.uint16).tobytes(), 1) for t in totals.values()], pa.binary())], ["chunk", "data"])
-
-    schema = "chunk int, data binary"
-    out = np.zeros((chunks, cells // chunks), np.uint16)
-    for r in docs.select("text").mapInArrow(count, schema).repartition(chunks, "chunk").mapInArrow(add, schema).collect():
-        out[r["chunk"]] = np.frombuffer(zlib.decompress(r["data"]), np.uint16)
-    return out.reshape(-1)
-
-
 def fingerprint(s: np.ndarray) -> tuple[int, int]:
     two = [int(x) for x in (mix(s + PLACE[9]).sum(dtype=np.uint64), mix(s + PLACE[10]).sum(dtype=np.uint64))]
     return tuple(x - (1 << 64) if x >> 63 else x for x in two)
@@ -240,19 +208,70 @@ def traverse(trie: Trie, has: np.ndarray, percent: int) -> list[tuple[int, int]]
     return edges
 
 
+def as_batch(ids, sets: list[np.ndarray], signed: list[np.ndarray]) -> pa.RecordBatch:
+    prints = [fingerprint(s) for s in sets]
+    off = np.append(0, np.cumsum([len(s) for s in signed])).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(signed).view(np.int64) if signed else np.empty(0, np.int64)))
+    return pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), *(pa.array([p[i] for p in prints], pa.int64()) for i in (0, 1)), lists], ["doc_id", "n", "f1", "f2", "signed"])
+
+
+SCHEMA = "doc_id bigint, n bigint, f1 bigint, f2 bigint, signed array<bigint>"
+
+
 def shingle_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    load = docs.sparkSession.sparkContext.broadcast(loads(docs, k) if percent < LEAST_PARTS else None)
+    """A row per document: its set's size, fingerprint and signatures."""
+    if percent < LEAST_PARTS:
+        return counted_rows(docs, k, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = shingle_sets(b.column(1), k)
-            prints = [fingerprint(s) for s in sets]
-            signed = [signatures(s, percent, load.value).view(np.int64) for s in sets]
-            off = np.append(0, np.cumsum([len(s) for s in signed])).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(signed) if signed else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), lists], ["doc_id", "n", "f1", "f2", "signed"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, signed array<bigint>")
+            yield as_batch(b.column(0), sets, [signatures(s, percent) for s in sets])
+
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def counted_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """`shingle_rows` with the shingles ordered by the number of documents that hold them, up to 255, then by hash. A set signs for those of
+    its first n - ceil(p n / 100) + 1 shingles that another document holds too.
+
+    Blocks of documents send their distinct shingles with counts to partitions by hash, which add up and answer in the
+    order of what was sent; an answer is a byte per shingle. A shingle that many documents hold is one entry per block."""
+    n = docs.rdd.getNumPartitions()
+    n_blocks, buckets = 4 * n, 2 * n
+    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block"))
+
+    def send(t: pa.Table) -> pa.Table:
+        values, counts = np.unique(np.concatenate(shingle_sets(t.column("text").combine_chunks(), k)), return_counts=True)
+        at = np.searchsorted(values, [np.uint64((b << 64) // buckets) for b in range(1, buckets)])
+        rows = [(b, squeeze(v), np.minimum(c, 255).astype(np.uint8).tobytes()) for b, (v, c) in enumerate(zip(np.split(values, at), np.split(counts, at), strict=True)) if len(v)]
+        block = t.column("block")[0].as_py()
+        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "shingles": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
+
+    sent = dealt.groupBy("block").applyInArrow(send, "bucket int, block int, shingles binary, counts binary")
+
+    def add_up(t: pa.Table) -> pa.Table:
+        values = [widen(x.as_py()) for x in t.column("shingles")]
+        distinct, at = np.unique(np.concatenate(values), return_inverse=True)
+        total = np.bincount(at, weights=np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in t.column("counts")]))
+        back = np.split(np.minimum(total[at], 255).astype(np.uint8), np.cumsum([len(v) for v in values])[:-1])
+        return pa.table({"bucket": t.column("bucket"), "block": t.column("block"), "totals": pa.array([x.tobytes() for x in back], pa.binary())})
+
+    totals = sent.groupBy("bucket").applyInArrow(add_up, "bucket int, block int, totals binary")
+
+    def finish(texts: pa.Table, known: pa.Table) -> pa.Table:
+        sets = shingle_sets(texts.column("text").combine_chunks(), k)
+        values = np.unique(np.concatenate(sets))
+        answers = sorted(zip(known.column("bucket").to_pylist(), known.column("totals").to_pylist(), strict=True))
+        count = np.frombuffer(b"".join(x for _, x in answers), np.uint8)
+        signed = []
+        for s in sets:
+            c, h = count[np.searchsorted(values, s)], mix(s + PLACE[5])
+            first = np.lexsort((h, c))[: len(s) - -(-percent * len(s) // 100) + 1]
+            signed.append(h[first][c[first] > 1])
+        return pa.Table.from_batches([as_batch(texts.column("doc_id").combine_chunks(), sets, signed)])
+
+    return dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(finish, SCHEMA)
 
 
 def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
