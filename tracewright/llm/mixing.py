@@ -41,7 +41,8 @@ def n_words(text: Column) -> Column:
 def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, passes: int = MAX_PASSES) -> DataFrame:
     """`(source, source_size, weight, target)` per source from `(source, size)` rows.
 
-    With sources in the order of limit / weight, a prefix reaches its limit and the rest share what is left by weight.
+    With sources in the order of limit / weight, a prefix reaches its limit and the rest share what is left by weight. A row's
+    rate supposes that all sources before it are full; it rises along the prefix and falls behind it.
     """
     total = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     by_name = W.orderBy(F.col("source").asc_nulls_last())
@@ -54,7 +55,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, passes: i
     money = F.sum("source_size").over(every) * F.lit(float(budget)) - passes * F.coalesce(F.sum("source_size").over(before), F.lit(0))
     fair = ranked.withColumn("__rate", money / rest)
     full = F.col("__rate") * F.col("weight") >= passes * F.col("source_size")
-    rate = F.min(F.when(~full, F.col("__rate"))).over(W.partitionBy())
+    rate = F.max(F.when(~full, F.col("__rate"))).over(W.partitionBy())
     share = F.when(full | rate.isNull(), passes * F.col("source_size").cast("double")).otherwise(rate * F.col("weight"))
     return fair.select("source", "source_size", "weight", share.alias("target"))
 
@@ -108,7 +109,7 @@ o AS (SELECT *, row_number() OVER (ORDER BY source_size / weight, source NULLS L
 r AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - (2 * coalesce(sum(source_size) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE)
                / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS rate FROM o),
 f AS (SELECT *, rate * weight >= 2 * source_size AS is_full FROM r),
-t AS (SELECT source, source_size, CASE WHEN is_full OR (min(rate) FILTER (NOT is_full) OVER ()) IS NULL THEN (2 * source_size)::DOUBLE ELSE (min(rate) FILTER (NOT is_full) OVER ()) * weight END AS target FROM f),
+t AS (SELECT source, source_size, CASE WHEN is_full OR (max(rate) FILTER (NOT is_full) OVER ()) IS NULL THEN (2 * source_size)::DOUBLE ELSE (max(rate) FILTER (NOT is_full) OVER ()) * weight END AS target FROM f),
 q AS (SELECT d.doc_id, d.size, t.source_size, t.target,
              sum(d.size) OVER (PARTITION BY d.source ORDER BY k, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING) AS upto
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
