@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import codecs
 from ..functions.streams import SIZES, varint_size
 
 #: Fixed values of the format: names by code, layers by code.
@@ -62,6 +66,26 @@ def totals(records: DataFrame, stream: str) -> DataFrame:
     return records.select(F.inline(sizes)).groupBy("strategy").agg(F.sum(F.col("size") + varint_size(F.col("size"))).cast("bigint").alias("total"))
 
 
+def measured(records: DataFrame, stream: str, layers: tuple[str, ...] = LAYERS, level: int = 3) -> DataFrame:
+    """`(strategy, layer, total)`: bytes with their length prefix as they are really written, for each encoding and layer. A
+    pair that some stream doesn't fit has a null total. Streams stay where they are: a batch gives one row per pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = {k: codecs.layer(k, level)[0] for k in layers}
+        for b in batches:
+            rows = [x for x in b.column(0).to_pylist() if x]
+            out = []
+            for name in STRATEGIES:
+                data = [codecs.tried(codecs.encode, name, x) for x in rows]
+                for k in layers:
+                    sizes = np.array([len(squeeze[k](x)) for x in data if x is not None], np.int64)
+                    out.append((name, k, int(sizes.sum() + codecs.varint_sizes(sizes).sum()), sum(x is None for x in data)))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["strategy", "layer", "total", "failed"])
+
+    parts = records.select(stream).mapInArrow(run, "strategy string, layer string, total bigint, failed bigint")
+    return parts.groupBy("strategy", "layer").agg(F.when(F.sum("failed") == 0, F.sum("total")).alias("total"))
+
+
 def best(total_rows: DataFrame) -> DataFrame:
     """The strategy of the least total; ties by code."""
     rank = F.array_position(F.array(*[F.lit(s) for s in STRATEGIES]), F.col("strategy"))

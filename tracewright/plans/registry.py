@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import codecs as C
 from ..functions import streams as S
 from ..functions import traces as T
 from ..operators import dictionary, selection
@@ -201,3 +202,37 @@ def point_lookup(spark, d):
 @query("metadata_only", f"WITH {_NAMES} SELECT record_id, query_name, CAST(query_len AS BIGINT) AS query_len, target_name, CAST(target_len AS BIGINT) AS target_len, CASE WHEN record_id % 2 = 0 THEN '+' ELSE '-' END AS strand FROM n")
 def metadata_only(spark, d):
     return orders.named(spark, d)
+
+
+def _checked(df, stream: str):
+    """Number of values and their sum weighted by place, which decoding must give back."""
+    weighted = F.aggregate(F.transform(stream, lambda x, k: x * (k + 1)), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return df.select("record_id", F.size(stream).cast("bigint").alias("n"), weighted.alias("weighted"))
+
+
+def _checked_sql(c: str) -> str:
+    return f"WITH {ITEMS} SELECT record_id, count(*) AS n, CAST(sum({c} * i) AS BIGINT) AS weighted FROM items GROUP BY record_id"
+
+
+def _roundtrip(spark, d, name, layer="nocomp"):
+    df = orders.streams(spark, d).select("record_id", F.size("v").alias("n"), C.encoded(F.col("v"), name, layer).alias("data"))
+    return _checked(df.withColumn("x", C.decoded(F.col("data"), F.col("n"), name, layer)), "x")
+
+
+def _second_roundtrip(spark, d, name):
+    df = orders.streams(spark, d).select("record_id", "a", C.encoded_second(F.col("a"), F.col("b"), name).alias("data"))
+    return _checked(df.withColumn("x", C.decoded_second(F.col("a"), F.col("data"), name)), "x")
+
+
+for _name in selection.STRATEGIES:
+    if _name in ("2d-delta", "hybrid-rle"):
+        query(f"codec_{_name.replace('-', '_')}_roundtrip", _checked_sql("b"))(lambda spark, d, n=_name: _second_roundtrip(spark, d, n))
+    else:
+        query(f"codec_{_name.replace('-', '_')}_roundtrip", _checked_sql("v"))(lambda spark, d, n=_name: _roundtrip(spark, d, n))
+for _name in ("zstd", "bgzip"):
+    query(f"layer_{_name}_roundtrip", _checked_sql("v"))(lambda spark, d, n=_name: _roundtrip(spark, d, "zigzag-delta", n))
+
+
+@query("benchmark_measured")
+def benchmark_measured(spark, d):
+    return selection.measured(orders.streams(spark, d), "v")
