@@ -519,14 +519,17 @@ def bgzf(data: bytes, level: int = 6) -> bytes:
     return b"".join([*out, BGZF_END])
 
 
-def unbgzf(data: bytes) -> bytes:
-    out = []
-    while data:
-        z = zlib.decompressobj(31)
-        out.append(z.decompress(data) + z.flush())
-        if not z.eof:
+def unbgzf(data: bytes, partial: bool = False) -> bytes:
+    """The contents of the blocks; partial: up to the first bytes that are no whole block."""
+    out, at = [], 0
+    while at < len(data):
+        size = struct.unpack("<H", data[at + 16 : at + 18])[0] + 1 if data[at : at + 4] == BGZF_HEAD[:4] and at + 18 <= len(data) else 0
+        if not size or at + size > len(data):
+            if partial:
+                break
             raise ValueError("a block is cut off")
-        data = z.unused_data
+        out.append(zlib.decompress(data[at : at + size], 31))
+        at += size
     return b"".join(out)
 
 

@@ -23,6 +23,12 @@ def exclusive_prefix(df: DataFrame, order: str, value: Column, name: str, width:
     return cut.withColumn("__own", own).join(bases, "__part").withColumn(name, (F.col("__own") + F.col("__base")).cast("bigint")).drop("__part", "__v", "__own", "__base")
 
 
+def names(records: DataFrame) -> DataFrame:
+    """`(pos, name, length)`: the query of a record comes before its target."""
+    both = F.array(*[F.struct((2 * F.col("record_id") + k).alias("pos"), F.col(f"{r}_name").alias("name"), F.col(f"{r}_len").alias("length")) for k, r in enumerate(("query", "target"))])
+    return records.select(F.inline(both))
+
+
 def string_table(names: DataFrame, width: int = 1 << 16) -> DataFrame:
     """`(id, name, length)` from `(pos, name, length)`: ids from 0 in order of first sight, the length first seen."""
     first = names.groupBy("name").agg(F.min(F.struct("pos", "length")).alias("m")).select("name", "m.pos", "m.length")

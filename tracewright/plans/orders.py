@@ -33,9 +33,3 @@ def named(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), F.col("p_name").alias("target_name"))
     joined = first.join(o, "record_id").join(c, "o_custkey").join(p, "p")
     return joined.select("record_id", "query_name", (F.lit(100000) + F.col("o_custkey")).cast("bigint").alias("query_len"), "target_name", (F.lit(1000) + F.col("p")).cast("bigint").alias("target_len"), F.when(F.col("record_id") % 2 == 0, "+").otherwise("-").alias("strand"))
-
-
-def names(records_: DataFrame) -> DataFrame:
-    """`(pos, name, length)`: the query of a record comes before its target."""
-    both = F.array(*[F.struct((2 * F.col("record_id") + k).alias("pos"), F.col(f"{r}_name").alias("name"), F.col(f"{r}_len").alias("length")) for k, r in enumerate(("query", "target"))])
-    return records_.select(F.inline(both))

@@ -152,13 +152,13 @@ strings AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS id, name, CAST(length
 
 @query("string_table", f"WITH {_NAMES} SELECT id, name, length FROM strings")
 def string_table(spark, d):
-    return dictionary.string_table(orders.names(orders.named(spark, d)))
+    return dictionary.string_table(dictionary.names(orders.named(spark, d)))
 
 
 @query("resolve_names", f"WITH {_NAMES} SELECT record_id, q.id AS query_name_id, query_name, q.length AS query_len, t.id AS target_name_id, target_name, t.length AS target_len FROM n JOIN strings q ON q.name = query_name JOIN strings t ON t.name = target_name")
 def resolve_names(spark, d):
     r = orders.named(spark, d).select("record_id", "query_name", "target_name")
-    strings = dictionary.string_table(orders.names(orders.named(spark, d)))
+    strings = dictionary.string_table(dictionary.names(orders.named(spark, d)))
     for role in ("query", "target"):
         r = r.join(strings.select(F.col("name").alias(f"{role}_name"), F.col("id").alias(f"{role}_name_id")), f"{role}_name")
     return dictionary.resolve(r.select("record_id", "query_name_id", "target_name_id"), strings)
