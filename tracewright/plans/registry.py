@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions import alignment as A
 from ..functions import codecs as C
 from ..functions import streams as S
 from ..functions import traces as T
 from ..operators import dictionary, selection
+from ..sources import container
 from . import orders
 
 ITEMS = """items AS (SELECT l_orderkey AS record_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS i,
@@ -236,3 +241,49 @@ for _name in ("zstd", "bgzip"):
 @query("benchmark_measured")
 def benchmark_measured(spark, d):
     return selection.measured(orders.streams(spark, d), "v")
+
+
+@query("cigar_trace_spans", f"WITH {ITEMS} SELECT record_id, CAST(coalesce(sum(a) FILTER (op <> 'D'), 0) AS BIGINT) AS query_span, CAST(coalesce(sum(a) FILTER (op <> 'I'), 0) AS BIGINT) AS target_span FROM items GROUP BY record_id")
+def cigar_trace_spans(spark, d):
+    text = F.array_join(F.transform("items", lambda x: F.concat(x["a"].cast("string"), x["op"])), "")
+    t = orders.records(spark, d).select("record_id", A.cigar_to_trace(text, F.lit(0).cast("bigint"), "standard", 32).alias("t"))
+    return t.select("record_id", S.total(F.col("t.a")).alias("query_span"), S.total(F.col("t.b")).alias("target_span"))
+
+
+def _container(spark, d) -> str:
+    """The records of the driver's tables as a container in the folder that driver and executors share."""
+    zero = F.lit(0).cast("bigint")
+    item = lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.lit(None).cast("string").alias("op"))
+    r = orders.named(spark, d).join(orders.records(spark, d).select("record_id", F.transform("items", item).alias("trace")), "record_id")
+    a, b = S.total(F.col("trace.a")), S.total(F.col("trace.b"))
+    tags = F.array(F.struct(F.lit("id").alias("key"), F.lit("i").alias("type"), F.col("record_id").cast("int").alias("i"), F.lit(None).cast("float").alias("f"), F.lit(None).cast("string").alias("s")))
+    r = r.select("*", zero.alias("query_start"), a.alias("query_end"), zero.alias("target_start"), b.alias("target_end"), F.least(a, b).alias("residue_matches"), a.alias("alignment_block_len"), F.lit(60).cast("smallint").alias("mapping_quality"), tags.alias("tags"))
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tracewright-")
+    path = f"{base}/{uuid.uuid4().hex}.bin"
+    container.at(base)[0].create_dir(container.at(base)[1])
+    container.write(r, path)
+    return path
+
+
+_ROUND = f"WITH {_NAMES}, k AS (SELECT record_id, CAST(sum(a * i) AS BIGINT) AS first, CAST(sum(b * i) AS BIGINT) AS second FROM items GROUP BY record_id), c AS (SELECT row_number() OVER (ORDER BY record_id) - 1 AS record_id, record_id AS tag, query_name, target_name, first, second FROM n JOIN k USING (record_id))"
+
+
+def _resolved(df):
+    at = lambda c: F.aggregate(F.transform(f"trace.{c}", lambda x, k: x * (k + 1)), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return df.select("record_id", F.col("tags")[0]["i"].cast("bigint").alias("tag"), "query_name", "target_name", at("a").alias("first"), at("b").alias("second"))
+
+
+@query("container_roundtrip", f"{_ROUND} SELECT * FROM c")
+def container_roundtrip(spark, d):
+    return _resolved(container.read_resolved(spark, _container(spark, d)))
+
+
+@query("container_lookup", f"{_ROUND} SELECT * FROM c WHERE record_id IN (0, 7, 500, 1000)")
+def container_lookup(spark, d):
+    return _resolved(container.read_resolved(spark, _container(spark, d), [0, 7, 500, 1000]))
+
+
+@query("container_metadata", f"{_ROUND} SELECT record_id, tag, query_name, target_name FROM c")
+def container_metadata(spark, d):
+    r = container.read_resolved(spark, _container(spark, d), metadata_only=True)
+    return r.select("record_id", F.col("tags")[0]["i"].cast("bigint").alias("tag"), "query_name", "target_name")
