@@ -11,8 +11,8 @@ from ..functions import alignment as A
 from ..functions import codecs as C
 from ..functions import streams as S
 from ..functions import traces as T
-from ..operators import dictionary, selection
-from ..sources import container
+from ..operators import contigs, dictionary, reports, selection
+from ..sources import container, paf
 from . import orders
 
 ITEMS = """items AS (SELECT l_orderkey AS record_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS i,
@@ -287,3 +287,62 @@ def container_lookup(spark, d):
 def container_metadata(spark, d):
     r = container.read_resolved(spark, _container(spark, d), metadata_only=True)
     return r.select("record_id", F.col("tags")[0]["i"].cast("bigint").alias("tag"), "query_name", "target_name")
+
+
+# Contigs of 50 bases with gaps of 14 on the query; a record's CIGAR begins at 0 on both sides.
+_BASES = """items2 AS (SELECT *, coalesce(sum(a) OVER w, 0) AS c0, coalesce(sum(CASE WHEN op <> 'D' THEN a ELSE 0 END) OVER w, 0) AS q0, coalesce(sum(CASE WHEN op <> 'I' THEN a ELSE 0 END) OVER w, 0) AS t0 FROM items WINDOW w AS (PARTITION BY record_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+bases AS (SELECT record_id, op, c0 + k AS c, q0 + CASE WHEN op = 'D' THEN 0 ELSE k END AS q, t0 + CASE WHEN op = 'I' THEN 0 ELSE k END AS t FROM (SELECT *, unnest(range(a)) AS k FROM items2)),
+pieces AS (SELECT record_id, q // 64 AS g, min(c) AS lo, max(c) AS hi, min(q) AS q1, max(q) + 1 AS q2, min(t) AS t1, max(t) + 1 AS t2 FROM bases WHERE op IN ('=', 'X') AND q % 64 < 50 GROUP BY ALL)"""
+
+
+@query("contig_segments", f"WITH {ITEMS}, {_BASES} SELECT p.record_id, CAST(row_number() OVER (PARTITION BY p.record_id ORDER BY g) - 1 AS INTEGER) AS segment, CAST(q1 AS BIGINT) AS query_start, CAST(q2 AS BIGINT) AS query_end, CAST(t1 AS BIGINT) AS target_start, CAST(t2 AS BIGINT) AS target_end, CAST(greatest(0, q2 - q1 - count(*) FILTER (op <> '=')) AS BIGINT) AS residue_matches FROM pieces p JOIN bases b ON b.record_id = p.record_id AND b.c BETWEEN lo AND hi GROUP BY p.record_id, g, q1, q2, t1, t2")
+def contig_segments(spark, d):
+    zero = F.lit(0).cast("bigint")
+    span = lambda skip: S.total(F.transform("items", lambda x: F.when(x["op"] != skip, x["a"]).otherwise(0)))
+    text = F.array_join(F.transform("items", lambda x: F.concat(x["a"].cast("string"), x["op"])), "")
+    r = orders.records(spark, d).select("record_id", F.lit("scaffold").alias("query_name"), zero.alias("query_start"), span("D").alias("query_end"), F.lit("+").alias("strand"), F.lit("target").alias("target_name"), span("I").alias("target_len"), zero.alias("target_start"), span("I").alias("target_end"), text.alias("cigar"), F.array().cast("array<string>").alias("tags"))
+    runs = spark.range(64).select(F.lit("scaffold").alias("name"), (F.col("id") * 64).alias("start"), (F.col("id") * 64 + 50).alias("end"))
+    return contigs.split_by_contigs(r, runs, 32).select("record_id", "segment", "query_start", "query_end", "target_start", "target_end", "residue_matches")
+
+
+def _results(spark, d):
+    """A row per order priority and encoding of the wide stream, and one of the automatic choice; times stand for nothing but their order."""
+    o = orders.table(spark, d, "orders").select(F.col("o_orderkey").alias("record_id"), F.col("o_orderpriority").alias("dataset_name"))
+    sizes = F.array(*[F.struct(F.lit(k).alias("strategy_first"), f(F.col("v")).alias("size")) for k, f in S.SIZES.items()])
+    flat = orders.streams(spark, d).join(o, "record_id").select("dataset_name", F.size("v").alias("n"), F.inline(sizes))
+    total = flat.groupBy("dataset_name", "strategy_first").agg(F.sum("size").cast("bigint").alias("size"), F.sum("n").alias("n"))
+    ratio = (8 * F.col("n") / F.col("size")).alias("ratio_orig_to_tpa")
+    chosen = F.when(F.col("strategy_first") == "rice", F.array(F.lit("manual"), F.lit("automatic"))).otherwise(F.array(F.lit("manual")))
+    nocomp = [F.lit("nocomp").alias(f"compression_layer_{k}") for k in ("first", "second")]
+    return total.select("dataset_name", F.explode(chosen).alias("compression_strategy"), "strategy_first", F.lit("2d-delta").alias("strategy_second"), *nocomp, ratio, ratio.alias("ratio_tp_to_tpa"), F.length("strategy_first").cast("double").alias("direct_seek_avg_us"), F.col("size").cast("double").alias("compression_runtime_sec"), F.lit("yes").alias("verification_passed"))
+
+
+_SIZED = " UNION ALL ".join(f"SELECT '{k}' AS strategy, record_id, size FROM ({v})" for k, v in SIZE_SQL.items())
+_RESULTS = f"""{ITEMS}, counts AS (SELECT record_id, count(*) AS n FROM items GROUP BY record_id), sized AS ({_SIZED}),
+m AS (SELECT o_orderpriority AS dataset_name, strategy, 8 * sum(n) / sum(size) AS ratio, CAST(sum(size) AS DOUBLE) AS took, CAST(length(strategy) AS DOUBLE) AS seek FROM sized JOIN counts USING (record_id) JOIN orders ON o_orderkey = record_id GROUP BY ALL)"""
+
+
+@query("report_automatic", f"WITH {_RESULTS}, b AS (SELECT dataset_name, strategy AS best_strategy, ratio AS best_ratio FROM m QUALIFY row_number() OVER (PARTITION BY dataset_name ORDER BY ratio DESC, strategy) = 1) SELECT dataset_name, strategy, round(ratio, 6) AS ratio, best_strategy, round(best_ratio, 6) AS best_ratio, strategy = best_strategy AS same FROM m JOIN b USING (dataset_name) WHERE strategy = 'rice'")
+def report_automatic(spark, d):
+    r = reports.best_and_automatic(_results(spark, d))
+    return r.select("dataset_name", F.col("strategy_first").alias("strategy"), F.round("ratio_tp_to_tpa", 6).alias("ratio"), F.col("best_strategy_first").alias("best_strategy"), F.round("best_ratio_tp_to_tpa", 6).alias("best_ratio"), "same")
+
+
+_PICK = " UNION ALL ".join(f"SELECT * FROM (SELECT dataset_name, '{k}' AS metric, strategy AS strategy_first, '2d-delta' AS strategy_second, round({x}, 6) AS value FROM m QUALIFY row_number() OVER (PARTITION BY dataset_name ORDER BY {x} {way}, strategy) = 1)" for k, x, way in (("ratio", "ratio", "DESC"), ("seek", "seek", ""), ("compression_time", "took", ""), ("balance", "ratio / (seek / 10)", "DESC")))
+
+
+@query("report_best_per_metric", f"WITH {_RESULTS} {_PICK}")
+def report_best_per_metric(spark, d):
+    return reports.best_per_metric(_results(spark, d)).withColumn("value", F.round("value", 6))
+
+
+@query("report_summary", f"WITH {_RESULTS} SELECT dataset_name, count(*) + 1 AS n, count(DISTINCT strategy) AS pairs, round((sum(ratio) + sum(ratio) FILTER (strategy = 'rice')) / (count(*) + 1), 6) AS mean_ratio, 1.0::DOUBLE AS pass_rate FROM m GROUP BY dataset_name")
+def report_summary(spark, d):
+    return reports.summary(_results(spark, d)).withColumn("mean_ratio", F.round("mean_ratio", 6))
+
+
+@query("paf_normalized", f"WITH {ITEMS} SELECT record_id, 'q' || repeat(chr(9) || '1', 11) || chr(9) || 'ab:i:' || record_id || chr(9) || 'gi:f:' || (record_id % 8) || '.500' || chr(9) || 'tp:Z:' || string_agg(a || ',' || b, ';' ORDER BY i) AS value FROM items GROUP BY record_id")
+def paf_normalized(spark, d):
+    gi = F.concat(F.lit("gi:f:"), (F.col("record_id") % 8).cast("string"), F.lit(".5"))
+    fields = [F.lit("q" + "\t1" * 11), F.concat(F.lit("tp:Z:"), F.col("trace")), gi, F.concat(F.lit("ab:i:"), F.col("record_id").cast("string"))]
+    return paf.normalize(trace_format(spark, d).select("record_id", F.concat_ws("\t", *fields).alias("value")))

@@ -59,3 +59,17 @@ def to_lines(records: DataFrame) -> DataFrame:
     fields = [F.col(c).cast("string") for c in FIELDS]
     tags = F.transform("tags", format_tag)
     return records.select(F.concat_ws("\t", *fields, tags, F.concat(F.lit("tp:Z:"), format_trace(F.col("trace")))).alias("value"))
+
+def normalize(lines: DataFrame) -> DataFrame:
+    """Lines of equal content as equal `value`s: tags in the order of their keys (those of one key as they stand), float tags as 32-bit
+    floats with three decimals, ties to even."""
+    f = F.split(F.rtrim("value", F.lit("\r")), "\t", -1)
+    tags = F.slice(f, 13, F.greatest(F.lit(0), F.size(f) - 12))
+    number_ = r"^([^:]*:f:)([0-9]+\.?[0-9]*|\.[0-9]+)$"
+
+    def rounded(t: Column) -> Column:
+        v = F.regexp_extract(t, number_, 2).try_cast("float").cast("double")
+        return F.when(t.rlike(number_), F.concat(F.regexp_extract(t, number_, 1), F.format_string("%.3f", F.bround(v, 3)))).otherwise(t)
+
+    ordered = F.array_sort(F.transform(tags, lambda t, k: F.struct(F.substring(t, 1, 2).alias("key"), k.alias("k"), rounded(t).alias("t"))))
+    return lines.withColumn("value", F.concat_ws("\t", F.slice(f, 1, 12), F.transform(ordered, lambda x: x["t"])))
