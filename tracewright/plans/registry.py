@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from ..functions import codecs as C
 from ..functions import streams as S
 from ..functions import traces as T
 from ..operators import contigs, dictionary, reports, selection
-from ..sources import container, paf
+from ..sources import container, paf, text
 from . import orders
 
 ITEMS = """items AS (SELECT l_orderkey AS record_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS i,
@@ -122,8 +121,8 @@ def trace_roundtrip(spark, d):
 
 
 def stats(spark, d):
-    text = F.array_join(F.transform("items", lambda x: F.concat(x["a"].cast("string"), x["op"])), "")
-    return orders.records(spark, d).select("record_id", S.let(T.parse_cigar(text), T.cigar_stats).alias("s"))
+    cigar = F.array_join(F.transform("items", lambda x: F.concat(x["a"].cast("string"), x["op"])), "")
+    return orders.records(spark, d).select("record_id", S.let(T.parse_cigar(cigar), T.cigar_stats).alias("s"))
 
 
 _C = f"""{ITEMS}, c AS (SELECT record_id, CAST(coalesce(sum(a) FILTER (op = '='), 0) AS BIGINT) AS m, CAST(coalesce(sum(a) FILTER (op = 'X'), 0) AS BIGINT) AS x, count(*) FILTER (op = 'I') AS ni, count(*) FILTER (op = 'D') AS nd,
@@ -245,8 +244,8 @@ def benchmark_measured(spark, d):
 
 @query("cigar_trace_spans", f"WITH {ITEMS} SELECT record_id, CAST(coalesce(sum(a) FILTER (op <> 'D'), 0) AS BIGINT) AS query_span, CAST(coalesce(sum(a) FILTER (op <> 'I'), 0) AS BIGINT) AS target_span FROM items GROUP BY record_id")
 def cigar_trace_spans(spark, d):
-    text = F.array_join(F.transform("items", lambda x: F.concat(x["a"].cast("string"), x["op"])), "")
-    t = orders.records(spark, d).select("record_id", A.cigar_to_trace(text, F.lit(0).cast("bigint"), "standard", 32).alias("t"))
+    cigar = F.array_join(F.transform("items", lambda x: F.concat(x["a"].cast("string"), x["op"])), "")
+    t = orders.records(spark, d).select("record_id", A.cigar_to_trace(cigar, F.lit(0).cast("bigint"), "standard", 32).alias("t"))
     return t.select("record_id", S.total(F.col("t.a")).alias("query_span"), S.total(F.col("t.b")).alias("target_span"))
 
 
@@ -258,7 +257,7 @@ def _container(spark, d) -> str:
     a, b = S.total(F.col("trace.a")), S.total(F.col("trace.b"))
     tags = F.array(F.struct(F.lit("id").alias("key"), F.lit("i").alias("type"), F.col("record_id").cast("int").alias("i"), F.lit(None).cast("float").alias("f"), F.lit(None).cast("string").alias("s")))
     r = r.select("*", zero.alias("query_start"), a.alias("query_end"), zero.alias("target_start"), b.alias("target_end"), F.least(a, b).alias("residue_matches"), a.alias("alignment_block_len"), F.lit(60).cast("smallint").alias("mapping_quality"), tags.alias("tags"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tracewright-")
+    base = text.shared_folder(spark)
     path = f"{base}/{uuid.uuid4().hex}.bin"
     container.at(base)[0].create_dir(container.at(base)[1])
     container.write(r, path)
@@ -299,8 +298,8 @@ pieces AS (SELECT record_id, q // 64 AS g, min(c) AS lo, max(c) AS hi, min(q) AS
 def contig_segments(spark, d):
     zero = F.lit(0).cast("bigint")
     span = lambda skip: S.total(F.transform("items", lambda x: F.when(x["op"] != skip, x["a"]).otherwise(0)))
-    text = F.array_join(F.transform("items", lambda x: F.concat(x["a"].cast("string"), x["op"])), "")
-    r = orders.records(spark, d).select("record_id", F.lit("scaffold").alias("query_name"), zero.alias("query_start"), span("D").alias("query_end"), F.lit("+").alias("strand"), F.lit("target").alias("target_name"), span("I").alias("target_len"), zero.alias("target_start"), span("I").alias("target_end"), text.alias("cigar"), F.array().cast("array<string>").alias("tags"))
+    cigar = F.array_join(F.transform("items", lambda x: F.concat(x["a"].cast("string"), x["op"])), "")
+    r = orders.records(spark, d).select("record_id", F.lit("scaffold").alias("query_name"), zero.alias("query_start"), span("D").alias("query_end"), F.lit("+").alias("strand"), F.lit("target").alias("target_name"), span("I").alias("target_len"), zero.alias("target_start"), span("I").alias("target_end"), cigar.alias("cigar"), F.array().cast("array<string>").alias("tags"))
     runs = spark.range(64).select(F.lit("scaffold").alias("name"), (F.col("id") * 64).alias("start"), (F.col("id") * 64 + 50).alias("end"))
     return contigs.split_by_contigs(r, runs, 32).select("record_id", "segment", "query_start", "query_end", "target_start", "target_end", "residue_matches")
 
@@ -346,3 +345,8 @@ def paf_normalized(spark, d):
     gi = F.concat(F.lit("gi:f:"), (F.col("record_id") % 8).cast("string"), F.lit(".5"))
     fields = [F.lit("q" + "\t1" * 11), F.concat(F.lit("tp:Z:"), F.col("trace")), gi, F.concat(F.lit("ab:i:"), F.col("record_id").cast("string"))]
     return paf.normalize(trace_format(spark, d).select("record_id", F.concat_ws("\t", *fields).alias("value")))
+
+
+@query("container_sizes", f"WITH {_NAMES}, s AS (SELECT CAST(sum({vs('strlen(name)')}) AS BIGINT) AS a, CAST(sum(strlen(name)) AS BIGINT) AS b, CAST(sum({vs('length')}) AS BIGINT) AS c FROM strings) SELECT 'name lengths' AS part, a AS bytes FROM s UNION ALL SELECT 'names', b FROM s UNION ALL SELECT 'sequence lengths', c FROM s")
+def container_sizes(spark, d):
+    return container.size_report(spark, _container(spark, d)).where("section = 'names'").select("part", "bytes")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs as C
+from ..functions.streams import varint_size
 from ..operators.dictionary import names, resolve, string_table
 from ..operators.selection import LAYERS, STRATEGIES, Strategy
 
@@ -380,6 +381,22 @@ def read_resolved(spark: SparkSession, path: str, ids: list[int] | None = None,
     return resolve(read(spark, path, ids, metadata_only), read_strings(spark, path)).drop("query_name_id", "target_name_id")
 
 
+def size_report(spark: SparkSession, path: str) -> DataFrame:
+    """`(section, part, bytes, share, average)`: bytes of the header, of the names by parts, and of the rest (records, footer). The share is
+    of the file; the average per name or record."""
+    h, head = read_header(path)
+    store, name = at(path)
+    size = store.get_file_info(name).size
+    n = F.octet_length("name").cast("bigint")
+    parts = {"name lengths": varint_size(n), "names": n, "sequence lengths": varint_size(F.col("length"))}
+    strings = read_strings(spark, path).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(k) for k, c in parts.items()])
+    row = lambda section, part, b, count: F.struct(F.lit(section).alias("section"), F.lit(part).alias("part"), b.cast("bigint").alias("bytes"), F.lit(count).cast("bigint").alias("count"))
+    rest = F.lit(size - head) - sum((F.col(k) for k in parts), F.lit(0))
+    rows = [row("header", "all", F.lit(head), 1), *[row("names", k, F.col(k), h.num_strings) for k in parts], row("records", "all", rest, h.num_records)]
+    flat = strings.select(F.inline(F.array(*rows)))
+    return flat.select("section", "part", "bytes", F.try_divide("bytes", F.lit(size)).alias("share"), F.try_divide("bytes", "count").alias("average"))
+
+
 def build_index(path: str) -> np.ndarray:
     """Positions of a container without an index, by skipping from record to record (all records in one section: virtual ones)."""
     h, start = read_header(path)

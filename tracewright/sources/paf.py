@@ -6,15 +6,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.traces import format_trace, number, parse_trace
+from . import text
 
 LONGS = ("query_len", "query_start", "query_end", "target_len", "target_start", "target_end", "residue_matches", "alignment_block_len")
 FIELDS = ("query_name", "query_len", "query_start", "query_end", "strand", "target_name", "target_len", "target_start", "target_end", "residue_matches", "alignment_block_len", "mapping_quality")
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines that are valid UTF-8, not blank and no comment, with their place (file, then row) for the input order."""
-    raw = spark.read.option("lineSep", "\n").text(path).select(F.rtrim(F.col("value"), F.lit("\r")).alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    text = F.trim("value")
-    return raw.where(F.is_valid_utf8("value") & (text != "") & ~text.startswith("#"))
+    """Lines that are valid UTF-8, not blank and no comment, with their place (file, then row) for the input order. `-` is standard
+    input; names that end in `.gz` or `.bgz` are decompressed, the latter in parallel."""
+    if path == "-":
+        path = text.spool_stdin(spark)
+    if path.endswith(".bgz"):
+        return kept_lines(text.read_bgzf(spark, path).withColumn("value", F.col("value").cast("string")))
+    raw = spark.read.option("lineSep", "\n").text(path)
+    return kept_lines(raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
+
+def kept_lines(raw: DataFrame) -> DataFrame:
+    line = F.trim("value")
+    return raw.withColumn("value", F.rtrim(F.col("value"), F.lit("\r"))).where(F.is_valid_utf8("value") & (line != "") & ~line.startswith("#"))
 
 def parse_tag(field: Column) -> Column:
     """STRUCT<key, type, i, f, s>, or null for a tag that isn't kept."""
