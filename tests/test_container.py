@@ -50,6 +50,14 @@ def test_roundtrip(spark, tmp_path, variant, first, second, layers, whole, monke
     meta = container.read(spark, path, [3], metadata_only=True).first()
     assert meta["trace"] is None and len(meta["tags"]) == len(want[3][14])
     assert np.array_equal(container.build_index(path), container.read_index(path + ".idx")[0])
+    for k in (0, 150, 298):
+        position = int(container.read_index(path + ".idx")[0][k])
+        assert plain([container.record_at(path, position)["trace"] and [tuple(x.values()) for x in container.record_at(path, position)["trace"]]]) == plain([want[k][13]])
+        assert [tuple(x.values()) for x in container.trace_at(path, container.trace_position(path, position), variant)] == want[k][13]
+    with pytest.raises(ValueError, match="are not"):
+        container.trace_at(path, 0, "nothing")
+    sizes = {(r.section, r.part): r.bytes for r in container.size_report(spark, path).collect()}
+    assert sum(sizes.values()) == (tmp_path / "x.bin").stat().st_size and sizes["names", "names"] == sum(len(f"q{k}") for k in range(17)) + 2 * 5
     with pytest.raises(IndexError):
         container.read(spark, path, [299])
 

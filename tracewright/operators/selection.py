@@ -66,23 +66,24 @@ def totals(records: DataFrame, stream: str) -> DataFrame:
     return records.select(F.inline(sizes)).groupBy("strategy").agg(F.sum(F.col("size") + varint_size(F.col("size"))).cast("bigint").alias("total"))
 
 
-def measured(records: DataFrame, stream: str, layers: tuple[str, ...] = LAYERS, level: int = 3) -> DataFrame:
+def measured(records: DataFrame, stream: str, layers: tuple[str, ...] = LAYERS, level: int = 3, first: str | None = None) -> DataFrame:
     """`(strategy, layer, total)`: bytes with their length prefix as they are really written, for each encoding and layer. A
-    pair that some stream doesn't fit has a null total. Streams stay where they are: a batch gives one row per pair."""
+    pair that some stream doesn't fit has a null total. Streams stay where they are: a batch gives one row per pair. With
+    `first`, `stream` is the second stream of pairs whose first is that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = {k: codecs.layer(k, level)[0] for k in layers}
         for b in batches:
-            rows = [x for x in b.column(0).to_pylist() if x]
+            rows = [x for x in zip(*[c.to_pylist() for c in b.columns], strict=True) if x[-1]]
             out = []
             for name in STRATEGIES:
-                data = [codecs.tried(codecs.encode, name, x) for x in rows]
+                data = [codecs.tried(codecs.encode_second, name, *x) if first else codecs.tried(codecs.encode, name, *x) for x in rows]
                 for k in layers:
                     sizes = np.array([len(squeeze[k](x)) for x in data if x is not None], np.int64)
                     out.append((name, k, int(sizes.sum() + codecs.varint_sizes(sizes).sum()), sum(x is None for x in data)))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["strategy", "layer", "total", "failed"])
 
-    parts = records.select(stream).mapInArrow(run, "strategy string, layer string, total bigint, failed bigint")
+    parts = records.select(*([first] if first else []), stream).mapInArrow(run, "strategy string, layer string, total bigint, failed bigint")
     return parts.groupBy("strategy", "layer").agg(F.when(F.sum("failed") == 0, F.sum("total")).alias("total"))
 
 
@@ -90,3 +91,34 @@ def best(total_rows: DataFrame) -> DataFrame:
     """The strategy of the least total; ties by code."""
     rank = F.array_position(F.array(*[F.lit(s) for s in STRATEGIES]), F.col("strategy"))
     return total_rows.agg(F.min_by(F.struct("strategy", "total"), F.struct("total", rank)).alias("m")).select("m.*")
+
+
+def best_measured(measured_rows: DataFrame, level: int = 3) -> Strategy:
+    """The pair of the least total; ties by layer, then by code. ValueError if nothing fits."""
+    rank = lambda c, names: F.array_position(F.array(*[F.lit(s) for s in names]), F.col(c))
+    m = measured_rows.where("total IS NOT NULL").agg(F.min_by(F.struct("strategy", "layer"), F.struct("total", rank("layer", LAYERS), rank("strategy", STRATEGIES))).alias("m")).first()["m"]
+    if m is None:
+        raise ValueError("no encoding fits")
+    return Strategy(m["strategy"], m["layer"], 0 if m["layer"] == "nocomp" else level)
+
+
+def chosen(records: DataFrame, first: Strategy, second: Strategy, variant: str, metric: str = "edit-distance", layers: tuple[str, ...] = LAYERS) -> tuple[Strategy, Strategy]:
+    """Strategies to write with. Where either is `automatic`, both follow the rule for variant and metric; otherwise, where either is
+    `benchmark`, both are measured on the traces of the first `sample` records (none or 0: all), and each stream takes its best. The
+    values measured are those written: pairs as pairs, operations with the first values, missing second values left out."""
+    names = {first.name, second.name}
+    if "automatic" in names:
+        return automatic(variant, metric)
+    if "benchmark" not in names:
+        return first, second
+    asked = first if first.name == "benchmark" else second
+    if asked.sample:
+        records = records.orderBy("record_id").limit(asked.sample)
+    level = asked.level or 3
+    pick = lambda c, keep: F.transform(F.filter("trace", keep), lambda x: x[c]).alias(c)
+    paired = variant in ("standard", "fastga")
+    streams = records.where("size(trace) > 0").select(pick("a", lambda x: F.lit(True)), pick("b", lambda x: F.lit(True) if paired else x["b"].isNotNull()))
+    a = best_measured(measured(streams, "a", layers, level), level)
+    if variant == "single":
+        return a, Strategy("raw")
+    return a, best_measured(measured(streams, "b", layers, level, "a" if paired else None), level)

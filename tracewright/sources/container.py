@@ -381,6 +381,68 @@ def read_resolved(spark: SparkSession, path: str, ids: list[int] | None = None,
     return resolve(read(spark, path, ids, metadata_only), read_strings(spark, path)).drop("query_name_id", "target_name_id")
 
 
+class Cut:
+    """The part of a file from a position on: text for a reader, and positions of places in it."""
+
+    def __init__(self, f: pa.NativeFile, position: int, virtual: bool, window: int):
+        start = position >> 16 if virtual else position
+        f.seek(start)
+        data = f.read(window)
+        self.complete, self.blocks = f.tell() == f.size(), [(0, start)]
+        if virtual:
+            texts, k, n = [], 0, 0
+            while data[k : k + 4] == C.BGZF_HEAD[:4] and k + 18 <= len(data) and k + (size := struct.unpack("<H", data[k + 16 : k + 18])[0] + 1) <= len(data):
+                texts.append(C.unbgzf(data[k : k + size]))
+                k, n = k + size, n + len(texts[-1])
+                self.blocks.append((n, start + k))
+            data = b"".join(texts)
+        self.virtual, self.reader = virtual, C.Reader(data)
+        self.reader.at = position & 0xFFFF if virtual else 0
+
+    def position(self, place: int) -> int:
+        n, start = next(b for b in reversed(self.blocks) if b[0] <= place)
+        return start << 16 | place - n if self.virtual else start + place
+
+
+def read_from(path: str, position: int, what):
+    """What `what(cut, header)` reads at a position, with as much of the file as it takes."""
+    h, _ = read_header(path)
+    store, name = at(path)
+    window = 1 << 18
+    with store.open_input_file(name) as f:
+        while True:
+            cut = Cut(f, position, h.all_records, window)
+            try:
+                return what(cut, h)
+            except ValueError:
+                if cut.complete:
+                    raise
+                window *= 8
+
+
+def record_at(path: str, position: int, metadata_only: bool = False) -> dict:
+    """The record at a position of the index, on the driver."""
+    return read_from(path, position, lambda c, h: read_record(c.reader, h, metadata_only))
+
+
+def trace_position(path: str, position: int) -> int:
+    """Where the trace of the record at a position begins; virtual if the positions of the index are."""
+
+    def skip(c: Cut, h: Header) -> int:
+        for name in HEAD:
+            c.reader.number(1) if name in ("strand", "mapping_quality") else c.reader.varint()
+        return c.position(c.reader.at)
+
+    return read_from(path, position, skip)
+
+
+def trace_at(path: str, position: int, variant: str | None = None) -> list[dict]:
+    """The trace that begins at a position. ValueError if `variant` is given and isn't the container's."""
+    if variant and read_header(path)[0].variant != variant:
+        raise ValueError(f"the traces are not {variant}")
+    return read_from(path, position, lambda c, h: read_trace(c.reader, h))
+
+
 def size_report(spark: SparkSession, path: str) -> DataFrame:
     """`(section, part, bytes, share, average)`: bytes of the header, of the names by parts, and of the rest (records, footer). The share is
     of the file; the average per name or record."""

@@ -63,11 +63,14 @@ def parse(lines: DataFrame, variant: str = "standard") -> DataFrame:
 def format_tag(t: Column) -> Column:
     return F.concat_ws(":", t["key"], F.when(t["type"] == "i", F.concat(F.lit("i:"), t["i"].cast("string"))).when(t["type"] == "f", F.concat(F.lit("f:"), F.format_string("%.8f", t["f"].cast("double")))).otherwise(F.concat(F.lit("Z:"), t["s"])))
 
-def to_lines(records: DataFrame) -> DataFrame:
-    """One `value` per record: 12 fields, the tags in order, the trace last."""
+def line() -> Column:
+    """12 fields, the tags in order, the trace last."""
     fields = [F.col(c).cast("string") for c in FIELDS]
-    tags = F.transform("tags", format_tag)
-    return records.select(F.concat_ws("\t", *fields, tags, F.concat(F.lit("tp:Z:"), format_trace(F.col("trace")))).alias("value"))
+    return F.concat_ws("\t", *fields, F.transform("tags", format_tag), F.concat(F.lit("tp:Z:"), format_trace(F.col("trace"))))
+
+def to_lines(records: DataFrame) -> DataFrame:
+    """One `value` per record."""
+    return records.select(line().alias("value"))
 
 def normalize(lines: DataFrame) -> DataFrame:
     """Lines of equal content as equal `value`s: tags in the order of their keys (those of one key as they stand), float tags as 32-bit
