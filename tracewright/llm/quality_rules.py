@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACES, table, words
+from .shared import table, words
 
 MIN_WORDS, MAX_REPEAT_PCT, WINDOW, MAX_LOSS = 20, 30, 8, 0.4
 SYMBOLS = "#*$%&|<>"
@@ -39,8 +39,9 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def count_of(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def only(text: Column, chars: str) -> Column:
+    """How many characters are among `chars`, none of which has a meaning in a class of a pattern."""
+    return F.length(F.regexp_replace(text, f"[^{chars}]+", ""))
 
 
 def repeat_words(ws: Column, window: int = WINDOW) -> Column:
@@ -66,27 +67,31 @@ def repeat_words(ws: Column, window: int = WINDOW) -> Column:
 
 
 def good_line(line: Column) -> Column:
-    """True unless a rule removes the line."""
-    low = F.lower(line)
-    ws = words(line)
-    n_words = F.size(ws)
-    echoes = let(ws, lambda w: F.size(F.filter(w, lambda x, i: (i > 0) & (x == F.get(w, i - 1)))))
-    symbols = count_of(line, SYMBOLS)
-    upper = F.length(F.regexp_replace(line, r"[^\p{Lu}]+", ""))
-    cased = F.length(F.regexp_replace(line, r"[^\p{Lu}\p{Ll}]+", ""))
-    symbol_heavy = (symbols * 10 >= F.length(line)) | ((symbols * 2 >= n_words) & (symbols >= 2))
-    shouting = (upper >= 20) & (upper * 10 >= cased * 7)
-    navigation = F.length(F.regexp_replace(line, r"[^|•»›→]+", "")) >= 2
-    phrase = F.lit(False)
-    for p in BOILERPLATE:
-        phrase = phrase | F.contains(low, F.lit(p))
-    stutter = (n_words >= 8) & (echoes * 2 >= n_words)
-    bare = (n_words >= 8) & ~line.rlike(r"[.!?:;…。！？]")
-    return ~(symbol_heavy | shouting | navigation | ((n_words <= 40) & phrase) | stutter | bare)
+    """True unless a rule removes the line. What is used twice is bound by `let`, and the cheaper rules come first."""
+
+    def phrase(low: Column) -> Column:
+        found = F.lit(False)
+        for p in BOILERPLATE:
+            found = found | F.contains(low, F.lit(p))
+        return found
+
+    def judge(ws: Column) -> Column:
+        n_words = F.size(ws)
+        symbol_heavy = let(only(line, SYMBOLS), lambda n: (n * 10 >= F.length(line)) | ((n * 2 >= n_words) & (n >= 2)))
+        upper = F.length(F.regexp_replace(line, r"[^\p{Lu}]+", ""))
+        cased = F.length(F.regexp_replace(line, r"[^\p{Lu}\p{Ll}]+", ""))
+        shouting = let(upper, lambda n: (n >= 20) & (n * 10 >= cased * 7))
+        navigation = only(line, "|•»›→") >= 2
+        echoes = F.size(F.filter(ws, lambda x, i: (i > 0) & (x == F.get(ws, i - 1))))
+        stutter = (n_words >= 8) & (echoes * 2 >= n_words)
+        bare = (n_words >= 8) & ~line.rlike(r"[.!?:;…。！？]")
+        return ~(bare | symbol_heavy | navigation | ((n_words <= 40) & let(F.lower(line), phrase)) | shouting | stutter)
+
+    return let(words(line), judge)
 
 
 def word_chars(text: Column) -> Column:
-    return F.length(F.translate(text, SPACES, ""))
+    return F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""))
 
 
 def verdict(text: Column) -> Column:
@@ -102,7 +107,7 @@ def verdict(text: Column) -> Column:
                 lambda ls: F.struct(
                     F.size(w).cast("long").alias("n_words"),
                     word_chars(t).cast("long").alias("word_chars"),
-                    count_of(t, SYMBOLS).cast("long").alias("n_symbols"),
+                    only(t, SYMBOLS).cast("long").alias("n_symbols"),
                     (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
                     repeat_words(w).alias("n_repeat_words"),
                     F.aggregate(F.filter(ls, good_line), F.lit(0).cast("long"), lambda a, x: a + word_chars(x)).alias("chars_left"),
