@@ -83,7 +83,9 @@ def _runs(data: np.ndarray, edge: np.ndarray, kind: np.ndarray, at: int):
     start = np.flatnonzero(begins)
     length = np.diff(np.append(start, len(data)))
     place = np.arange(len(data), dtype=np.int64) - np.repeat(start, length)
-    weight = PLACE[place] if not len(length) or length.max() <= len(PLACE) else mix(place.astype(np.uint64) + np.uint64(77)) | np.uint64(1)
+    weight = PLACE[np.minimum(place, len(PLACE) - 1)]
+    far = np.flatnonzero(place >= len(PLACE))  # by the byte's own place, so a word's hash is the same beside any other run
+    weight[far] = mix(place[far] + 77) | np.uint64(1)
     h = np.add.reduceat(BYTE[LOWER[data]] * weight, start) if len(start) else np.empty(0, np.uint64)
     real = k[start] > 0
     return mix(h[real]), start[real] + at, length[real]
