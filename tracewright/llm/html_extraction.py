@@ -4,25 +4,27 @@ A page is parsed into elements; an element's style node is the path of tag, id a
 into one tree of style nodes. Over the m pages where a node occurs its importance is the larger of two entropies, both to
 base m: of its contents (one hash of its text a page) and of its presentations (the styles of its children). 1 means that every page has another
 content there, 0 that all are alike. Nodes on `MIN_PAGES` pages or more with an importance below `NOISE_BELOW` are noise of
-that host.
+that host. Pages of a host that are copies (alike in all nodes but those that are noise by their kind) count once, so that what only copies
+share is not taken for boilerplate; `html` and `body` hold the whole page and are no nodes.
 
 Removed from each page are: elements that are noise by their kind (menus, footers, side bars, notices, adverts, forms, scripts, comments:
 by tag, role, or a word of id or class), and the noise nodes of its host that lie outside the article. The article is the element marked as
 such (`article`, `main`, role or a class); where a page has none, it's the body without blocks that are mostly links. Contents of the article are never
-noise by entropy: pages of a host may be copies of each other.
+noise by entropy.
 
 Text: character references are decoded, a run of white space (and `<br>`) becomes one space, blocks are joined by an empty line.
 
-The tree's statistics are counts by (host, node, hash), added up map-side before they are shuffled, so a host with most
+The tree's statistics are counts by (host, node, hash) of distinct pages, dealt by all of host, node, hashes and page, so a host with most
 pages is spread over many tasks; no page's html is shuffled. The noise nodes are broadcast if they are at most
 `MAX_BROADCAST_NODES`, else joined to the pages by host.
 
 Defined results: a null html is an empty text; a null url or one without `://` has an empty host, and such pages are one site; repeated
-rows count as pages each; an empty table gives an empty table; other columns are not read.
+rows are copies and give a row each; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -39,6 +41,8 @@ MIN_PAGES, NOISE_BELOW, MAX_BROADCAST_NODES, MAX_DEPTH = 8, 0.25, 100_000, 12
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math object select option button canvas audio video".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split())
+#: Elements that hold the whole page.
+WHOLE = frozenset(("html", "body"))
 CELL = frozenset(("td", "th"))
 ENDS_P = BLOCK - {"body", "html", "head"}
 #: What is noise by its kind.
@@ -181,22 +185,29 @@ def extract(html: str | None, noise_nodes: frozenset[str] = frozenset()) -> str:
 
 
 def style_nodes(html: str | None) -> dict[str, tuple[int, int]]:
-    """For each style node of a page: hash of its contents and hash of its presentation."""
+    """For each style node of a page, but those that are noise by their kind, html and body: hash of its contents and hash of its presentation."""
     content: dict[str, int] = {}
     style: dict[str, int] = {}
     for stack, text, _ in blocks(html or ""):
+        if stack[-1].noise:
+            continue
         if text:
             data = text.encode()
-            for node in {e.node for e in stack[1:]}:
+            for node in {e.node for e in stack[1:] if e.tag not in WHOLE}:
                 content[node] = zlib.crc32(data, content.get(node, 0))
         elif len(stack) > 1:
-            parent, child = stack[-2].node, stack[-1]
-            style.setdefault(child.node, 0)
-            if parent:
-                style[parent] = zlib.crc32(child.label.encode(), style.get(parent, 0))
+            parent, child = stack[-2], stack[-1]
+            if child.tag not in WHOLE:
+                style.setdefault(child.node, 0)
+            if parent.node and parent.tag not in WHOLE:
+                style[parent.node] = zlib.crc32(child.label.encode(), style.get(parent.node, 0))
     return {k: (content.get(k, 0), v) for k, v in style.items()}
 
 
+def page_hash(nodes: dict[str, tuple[int, int]]) -> int:
+    return int.from_bytes(hashlib.blake2b(repr(sorted(nodes.items())).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def host_of(url) -> F.Column:
     return lower_ascii(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
 
@@ -206,18 +217,21 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, nodes, kinds, hashes = [], [], [], []
+            hosts, names, contents, styles, ids = [], [], [], [], []
             for host, html in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for node, pair in style_nodes(html.as_py()).items():
-                    for kind, h in enumerate(pair):
-                        hosts.append(host)
-                        nodes.append(node)
-                        kinds.append(kind)
-                        hashes.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.string()), pa.array(kinds, pa.int32()), pa.array(hashes, pa.int64())], ["host", "node", "kind", "hash"])
-
-    rows = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, node string, kind int, hash bigint")
-    counts = rows.groupBy("host", "node", "kind", "hash").agg(F.count(F.lit(1)).alias("c"))
+                nodes = style_nodes(html.as_py())
+                page = page_hash(nodes)
+                for node, (content, style) in nodes.items():
+                    hosts.append(host)
+                    names.append(node)
+                    contents.append(content)
+                    styles.append(style)
+                    ids.append(page)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(names, pa.string()), *[pa.array(x, pa.int64()) for x in (contents, styles, ids)]], ["host", "node", "content", "style", "page"])
+
+    rows = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, node string, content bigint, style bigint, page bigint").distinct()
+    kinds = F.posexplode(F.array("content", "style")).alias("kind", "hash")
+    counts = rows.select("host", "node", kinds).groupBy("host", "node", "kind", "hash").agg(F.count(F.lit(1)).alias("c"))
     sums = counts.groupBy("host", "node", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
     entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
     by = sums.withColumn("e", entropy).groupBy("host", "node").agg(F.max("m").alias("pages"), F.max(F.when(F.col("kind") == 0, F.col("e"))).alias("content_entropy"), F.max(F.when(F.col("kind") == 1, F.col("e"))).alias("style_entropy"))
