@@ -20,3 +20,15 @@ def test_copies_keep_their_text(spark):
     assert got[0] == "the whole text" and [got[90 + i] for i in range(10)] == [f"text {i}" for i in range(10)]
     split = [f"<html><body><div class='x'>same on all pages</div><div class='y'>text {i % 12}</div></body></html>" for i in range(60)]
     assert [*texts(spark, split).values()].count("text 3") == 5
+
+
+def test_tree_judges_pages_with_marks(spark):
+    card = "<body><div class='x'>same on all pages, outside</div><div class='y'>long main text {0} in neutral markup</div><article>card {0}<div class='z'>same on all pages, inside</div></article></body>"
+    for most in (100, 0):
+        got = texts(spark, [card.format(i) for i in range(12)], most=most)
+        assert all(got[i] == f"long main text {i} in neutral markup\n\ncard {i}" for i in range(12))
+    got = texts(spark, [f"<body><div class='y'>main text {i}</div><div class='entry'>quote</div></body>" for i in range(3)])
+    assert got[2] == "main text 2\n\nquote"
+    half = [f"<body><p class='k'>{'rare' if i == 0 else 'often'}</p><article><p class='k'>{'rare' if i == 0 else 'often'}</p><p>{i}</p></article></body>" for i in range(20)]
+    got = texts(spark, half)
+    assert got[0] == "rare\n\n0" and got[7] == "often\n\n7"  # importance 0.07: noise outside the mark only

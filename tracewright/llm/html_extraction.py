@@ -8,9 +8,10 @@ that host. Pages of a host that are copies (alike in all nodes but those that ar
 share is not taken for boilerplate; `html` and `body` hold the whole page and are no nodes.
 
 Removed from each page are: elements that are noise by their kind (menus, footers, side bars, notices, adverts, forms, scripts, comments:
-by tag, role, or a word of id or class), and the noise nodes of its host that lie outside the article. The article is the element marked as
-such (`article`, `main`, role or a class); where a page has none, it's the body without blocks that are mostly links. Contents of the article are never
-noise by entropy.
+by tag, role, or a word of id or class), and the noise nodes of its host, wherever they are. A mark (`article`, `main`, role or a class) is a
+prior: inside a marked element importance i counts as i + `PRIOR` (1 - i), so that only what is nearly alike on all distinct pages is noise there, and
+blocks that are mostly links stay. Text outside a mark is judged as on a page without marks: it stays unless it's noise or mostly links.
+On hosts with fewer than `MIN_PAGES` distinct pages only the kind of the element and the links decide.
 
 Text: character references are decoded, a run of white space (and `<br>`) becomes one space, blocks are joined by an empty line.
 
@@ -27,8 +28,9 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from html import unescape
+from types import MappingProxyType
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +39,7 @@ from pyspark.sql import functions as F
 from .shared import lower_ascii, table
 
 MIN_PAGES, NOISE_BELOW, MAX_BROADCAST_NODES, MAX_DEPTH = 8, 0.25, 100_000, 12
+PRIOR = 0.2
 #: Fixed values of HTML: elements without an end tag, of which only text up to the end tag follows, and that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math object select option button canvas audio video".split())
@@ -170,18 +173,17 @@ def blocks(html: str) -> Iterator[tuple[list[Element], str, int]]:
         yield stack, had, n
 
 
-def extract(html: str | None, noise_nodes: frozenset[str] = frozenset()) -> str:
-    """The main text of a page, given the noise nodes of its host."""
-    inside, outside = [], []
+def extract(html: str | None, noise_nodes: Mapping[str, bool] = MappingProxyType({})) -> str:
+    """The main text of a page, given the noise nodes of its host: whether they are noise inside a mark, too."""
+    out = []
     for stack, text, links in blocks(html or ""):
         top = stack[-1]
-        if not text or top.noise:
+        if not text or top.noise or (not top.article and 2 * links > len(text)):
             continue
-        if top.article:
-            inside.append(text)
-        elif 2 * links <= len(text) and not (noise_nodes and any(e.node in noise_nodes for e in stack)):
-            outside.append(text)
-    return "\n\n".join(inside or outside)
+        if noise_nodes and any(noise_nodes.get(e.node, False) if top.article else e.node in noise_nodes for e in stack):
+            continue
+        out.append(text)
+    return "\n\n".join(out)
 
 
 def style_nodes(html: str | None) -> dict[str, tuple[int, int]]:
@@ -241,19 +243,19 @@ def style_tree(pages: DataFrame) -> DataFrame:
 def extract_pages(pages: DataFrame, max_broadcast: int = MAX_BROADCAST_NODES) -> DataFrame:
     """`(page_id, url, text, n_chars)` per row."""
     spark = pages.sparkSession
-    noise = style_tree(pages).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < NOISE_BELOW)).select("host", "node")
+    noise = style_tree(pages).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < NOISE_BELOW)).select("host", "node", (F.col("importance") + PRIOR * (1 - F.col("importance")) < NOISE_BELOW).alias("marked"))
     found = noise.limit(max_broadcast + 1).persist()
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("__host"))
     try:
         if found.count() <= max_broadcast:
-            by: dict[str, set[str]] = {}
+            by: dict[str, dict[str, bool]] = {}
             for r in found.collect():
-                by.setdefault(r["host"], set()).add(r["node"])
-            sites = spark.sparkContext.broadcast({k: frozenset(v) for k, v in by.items()})
-            rows = rows.withColumn("__nodes", F.lit(None).cast("array<string>"))
+                by.setdefault(r["host"], {})[r["node"]] = r["marked"]
+            sites = spark.sparkContext.broadcast(by)
+            rows = rows.withColumn("__nodes", F.lit(None).cast("map<string,boolean>"))
         else:
             sites = None
-            rows = rows.join(noise.groupBy(F.col("host").alias("__host")).agg(F.collect_set("node").alias("__nodes")), "__host", "left")
+            rows = rows.join(noise.groupBy(F.col("host").alias("__host")).agg(F.map_from_entries(F.collect_list(F.struct("node", "marked"))).alias("__nodes")), "__host", "left")
     finally:
         found.unpersist()
 
@@ -261,7 +263,7 @@ def extract_pages(pages: DataFrame, max_broadcast: int = MAX_BROADCAST_NODES) ->
         for b in batches:
             texts = []
             for html, host, nodes in zip(b.column(2), b.column(3), b.column(4), strict=True):
-                known = sites.value.get(host.as_py(), frozenset()) if sites is not None else frozenset(nodes.as_py() or ())
+                known = sites.value.get(host.as_py(), {}) if sites is not None else dict(nodes.as_py() or ())
                 texts.append(extract(html.as_py(), known))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
