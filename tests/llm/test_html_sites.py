@@ -32,3 +32,15 @@ def test_tree_judges_pages_with_marks(spark):
     half = [f"<body><p class='k'>{'rare' if i == 0 else 'often'}</p><article><p class='k'>{'rare' if i == 0 else 'often'}</p><p>{i}</p></article></body>" for i in range(20)]
     got = texts(spark, half)
     assert got[0] == "rare\n\n0" and got[7] == "often\n\n7"  # importance 0.07: noise outside the mark only
+
+
+def test_words_of_wrappers_are_not_noise():
+    main = "<article><header><h1>Head</h1></header><p>the main text of the page</p></article>"
+    side = "<div class='sidebar'><article>card</article></div><div id='comments'><p>nice, but not as long</p></div>"
+    for wrapper in ('div class="layout has-sidebar"', 'div id="content" class="no-sidebar"', 'section class="post with-comments"', 'div class="layout-sidebar"', 'div class="share header"'):
+        tag = wrapper.split()[0]
+        assert html_extraction.extract(f"<body><{wrapper}>{main}{side}</{tag}></body>") == "Head\n\nthe main text of the page"
+        nodes = html_extraction.style_nodes(f"<body><{wrapper}>{main}{side}</{tag}></body>")
+        assert any(n.endswith("article/p") for n in nodes)
+    assert html_extraction.extract("<body><div class='widget-area'><p>most of the text of this page</div><div class='ad'>buy</div></body>") == "most of the text of this page"
+    assert html_extraction.extract("<body><aside><article>x</article></aside><div class='share'>y</div>" + main + "</body>") == "Head\n\nthe main text of the page"

@@ -11,6 +11,8 @@ Removed from each page are: elements that are noise by their kind (menus, footer
 by tag, role, or a word of id or class), and the noise nodes of its host, wherever they are. A mark (`article`, `main`, role or a class) is a
 prior: inside a marked element importance i counts as i + `PRIOR` (1 - i), so that only what is nearly alike on all distinct pages is noise there, and
 blocks that are mostly links stay. Text outside a mark is judged as on a page without marks: it stays unless it's noise or mostly links.
+A word of id or class says nothing after `has-`, `no-`, `with-` or `without-`, and doesn't make noise of an element around an `article` or `main` that is at least
+half as long as the page's longest, or, on pages without these, around more than three quarters of the text: such wrappers are left to the tree.
 On hosts with fewer than `MIN_PAGES` distinct pages only the kind of the element and the links decide.
 
 Text: character references are decoded, a run of white space (and `<br>`) becomes one space, blocks are joined by an empty line.
@@ -57,33 +59,89 @@ ARTICLE_WORDS = frozenset("article articlebody content entry maincontent post po
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _ATTR = re.compile(r"""([A-Za-z_:@][^\s=/>"']*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
 _SPACE = re.compile(r"\s+")
+#: Classes that tell which other parts a page has.
+_STATE = re.compile(r"(?<![\w-])(?:has|no|with|without)[-_][\w-]+")
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
 class Element:
-    __slots__ = ("tag", "node", "noise", "article", "label")
+    """noise, article: as far as the start tags tell; `settle` corrects them when the page has been read."""
 
-    def __init__(self, tag: str, node: str, label: str, noise: bool, article: bool):
-        self.tag, self.node, self.label, self.noise, self.article = tag, node, label, noise, article
+    __slots__ = ("tag", "node", "noise", "article", "label", "parent", "kind", "word", "header", "mark", "main", "dead", "size", "wraps")
+
+    def __init__(self, tag: str, node: str, label: str, parent: Element | None = None, kind: bool = False, word: bool = False, header: bool = False, mark: bool = False, main: bool = False):
+        self.tag, self.node, self.label, self.parent = tag, node, label, parent
+        self.kind, self.word, self.header, self.mark, self.main = kind, word, header, mark, main
+        self.size, self.wraps, self.dead = 0, False, kind or (parent is not None and parent.dead)
+        self.judge()
+
+    def judge(self) -> None:
+        up = self.parent
+        self.noise = up is not None and (up.noise or self.kind or (self.word and not self.wraps) or (self.header and not up.article))
+        self.article = up is not None and ((self.mark and not self.noise) or up.article)
 
 
 def describe(tag: str, attrs: str, parent: Element, depth: int) -> Element:
-    label, words, roles, hidden = tag, set(), set(), False
+    label, words, hits, roles, hidden = tag, set(), set(), set(), False
     if attrs.strip():
         found = {m[1].lower(): unescape((m[2] or "").strip("\"'")).lower() for m in _ATTR.finditer(attrs)}
         names = (found.get("id", "") + " " + found.get("class", "")).strip()
         words, roles = set(_WORDS.findall(names)), set(found.get("role", "").split())
+        hits = set(_WORDS.findall(_STATE.sub(" ", names)))
         hidden = "hidden" in found or found.get("aria-hidden") == "true"
         if names:
             label = f"{tag}.{re.sub(r'[0-9]+', '0', '.'.join(sorted(names.split())))}"
-    is_article = tag in ("article", "main") or "main" in roles or "article" in roles or (tag in ("div", "section") and bool(words & ARTICLE_WORDS))
-    noise = parent.noise or hidden or tag in NOISE_TAGS or bool(roles & NOISE_ROLES) or (tag not in ("html", "body", "main") and bool(words & NOISE_WORDS) and not (tag == "article" and not words & {"comment", "comments", "ad", "advert", "related"})) or ((tag == "header" or "header" in words) and not parent.article and tag not in ("html", "body"))
-    return Element(tag, f"{parent.node}/{label}" if depth <= MAX_DEPTH else parent.node, label, noise, (is_article and not noise) or parent.article)
+    main = tag in ("article", "main") or "main" in roles or "article" in roles
+    mark = main or (tag in ("div", "section") and bool(words & ARTICLE_WORDS))
+    kind = hidden or tag in NOISE_TAGS or bool(roles & NOISE_ROLES)
+    word = tag not in ("html", "body", "main") and bool(hits & NOISE_WORDS) and not (tag == "article" and not hits & {"comment", "comments", "ad", "advert", "related"})
+    header = (tag == "header" or "header" in hits) and tag not in ("html", "body")
+    return Element(tag, f"{parent.node}/{label}" if depth <= MAX_DEPTH else parent.node, label, parent, kind, word, header, mark, main)
+
+
+def settle(elements: list[Element], texts: list[tuple[Element, int]]) -> None:
+    """Decide which wrappers a word of id or class doesn't make noise of, and judge all elements (parents come first) again."""
+    if not any(e.word or (e.header and e.tag != "header") for e in elements):
+        return
+    total = 0
+    for top, n in texts:
+        if not top.dead:
+            total += n
+            while top is not None:
+                top.size += n
+                top = top.parent
+    mains = [e for e in elements if e.main and not e.word and not e.dead and e.size]
+    longest = max((e.size for e in mains), default=0)
+    for e in mains:
+        up = e.parent if 2 * e.size >= longest else None
+        while up is not None:
+            up.wraps = True
+            up = up.parent
+    for e in elements:
+        if not mains and 4 * e.size > 3 * total:
+            e.wraps = True
+        if e.wraps and e.tag != "header":
+            e.header = False
+        e.judge()
+
+
+def page_blocks(html: str) -> list[tuple[Element, str, int]]:
+    """What `blocks` yields, with the innermost element for the open ones, its noise and article settled."""
+    out = [(stack[-1], text, links) for stack, text, links in blocks(html)]
+    settle([e for e, text, _ in out if not text and e.parent is not None], [(e, len(text)) for e, text, _ in out if text])
+    return out
+
+
+def line(e: Element | None) -> Iterator[Element]:
+    """An element and those around it, but the root."""
+    while e is not None and e.parent is not None:
+        yield e
+        e = e.parent
 
 
 def blocks(html: str) -> Iterator[tuple[list[Element], str, int]]:
     """(open elements, text, length of the part that is links) for each block of text, in page order. Also yields (elements, "", 0) when an element opens."""
-    stack, text, links, at, in_link = [Element("", "", "", False, False)], [], 0, 0, 0
+    stack, text, links, at, in_link = [Element("", "", "")], [], 0, 0, 0
     find = _TAG.search
 
     def flush():
@@ -176,11 +234,10 @@ def blocks(html: str) -> Iterator[tuple[list[Element], str, int]]:
 def extract(html: str | None, noise_nodes: Mapping[str, bool] = MappingProxyType({})) -> str:
     """The main text of a page, given the noise nodes of its host: whether they are noise inside a mark, too."""
     out = []
-    for stack, text, links in blocks(html or ""):
-        top = stack[-1]
+    for top, text, links in page_blocks(html or ""):
         if not text or top.noise or (not top.article and 2 * links > len(text)):
             continue
-        if noise_nodes and any(noise_nodes.get(e.node, False) if top.article else e.node in noise_nodes for e in stack):
+        if noise_nodes and any(noise_nodes.get(e.node, False) if top.article else e.node in noise_nodes for e in line(top)):
             continue
         out.append(text)
     return "\n\n".join(out)
@@ -190,19 +247,19 @@ def style_nodes(html: str | None) -> dict[str, tuple[int, int]]:
     """For each style node of a page, but those that are noise by their kind, html and body: hash of its contents and hash of its presentation."""
     content: dict[str, int] = {}
     style: dict[str, int] = {}
-    for stack, text, _ in blocks(html or ""):
-        if stack[-1].noise:
+    for top, text, _ in page_blocks(html or ""):
+        if top.noise:
             continue
         if text:
             data = text.encode()
-            for node in {e.node for e in stack[1:] if e.tag not in WHOLE}:
+            for node in {e.node for e in line(top) if e.tag not in WHOLE}:
                 content[node] = zlib.crc32(data, content.get(node, 0))
-        elif len(stack) > 1:
-            parent, child = stack[-2], stack[-1]
-            if child.tag not in WHOLE:
-                style.setdefault(child.node, 0)
+        elif top.parent is not None:
+            parent = top.parent
+            if top.tag not in WHOLE:
+                style.setdefault(top.node, 0)
             if parent.node and parent.tag not in WHOLE:
-                style[parent.node] = zlib.crc32(child.label.encode(), style.get(parent.node, 0))
+                style[parent.node] = zlib.crc32(top.label.encode(), style.get(parent.node, 0))
     return {k: (content.get(k, 0), v) for k, v in style.items()}
 
 
