@@ -4,7 +4,8 @@ Every line with a word is judged alone and removed if one of these holds:
 
 * symbols: a tenth or more of its characters are among `#*$%&|<>`, or it has at least one of them for every two words;
 * shouting: it has 20 or more upper-case letters, and they are 70 % or more of its cased letters;
-* navigation: three or more items are joined by bars, bullets or breadcrumb arrows;
+* navigation: three or more items of at most `MAX_ITEM` words on average are joined by bars, bullets or breadcrumb arrows;
+  guillemets around a quotation are no arrows;
 * boilerplate: a phrase of `BOILERPLATE` is in it and it has at most 40 words;
 * stutter: it has 8 or more words, and half or more of them repeat the word before;
 * punctuation: it has 8 or more words and no full stop, question or exclamation mark, ellipsis, colon or their like.
@@ -27,8 +28,11 @@ from pyspark.sql import functions as F
 
 from .shared import table, words
 
-MIN_WORDS, MAX_REPEAT_PCT, WINDOW, MAX_LOSS = 20, 30, 8, 0.4
+MIN_WORDS, MAX_REPEAT_PCT, WINDOW, MAX_LOSS, MAX_ITEM = 20, 30, 8, 0.4, 5
 SYMBOLS = "#*$%&|<>"
+MARKS = "|•»›→"
+#: Quotations: «so», ‹so›, »so«, ›so‹.
+QUOTED = (r"«([^«»]*)»", r"‹([^‹›]*)›", r"»((?=\S)[^«»]*)(?<=\S)«", r"›((?=\S)[^‹›]*)(?<=\S)‹")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars_left")
 #: Fixed phrases of menus and notices, as text.
 BOILERPLATE = ("all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "use cookies", "uses cookies", "enable javascript", "javascript is disabled", "click here", "read more", "sign in", "log in", "subscribe to our", "share this", "skip to content", "back to top", "lorem ipsum", "powered by")
@@ -66,6 +70,18 @@ def repeat_words(ws: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(ws) <= window, F.lit(0).cast("long")).otherwise(let(hashes, covered))
 
 
+def unquoted(line: Column) -> Column:
+    """The line without guillemets around quotations."""
+    for pattern in QUOTED:
+        line = F.regexp_replace(line, pattern, "$1")
+    return line
+
+
+def menu(line: Column) -> Column:
+    """Three items or more, short ones on average."""
+    return let(only(line, MARKS), lambda n: (n >= 2) & (F.size(words(F.regexp_replace(line, f"[{MARKS}]", " "))) <= MAX_ITEM * (n + 1)))
+
+
 def good_line(line: Column) -> Column:
     """True unless a rule removes the line. What is used twice is bound by `let`, and the cheaper rules come first."""
 
@@ -81,7 +97,7 @@ def good_line(line: Column) -> Column:
         upper = F.length(F.regexp_replace(line, r"[^\p{Lu}]+", ""))
         cased = F.length(F.regexp_replace(line, r"[^\p{Lu}\p{Ll}]+", ""))
         shouting = let(upper, lambda n: (n >= 20) & (n * 10 >= cased * 7))
-        navigation = only(line, "|•»›→") >= 2
+        navigation = (only(line, MARKS) >= 2) & let(unquoted(line), menu)
         echoes = F.size(F.filter(ws, lambda x, i: (i > 0) & (x == F.get(ws, i - 1))))
         stutter = (n_words >= 8) & (echoes * 2 >= n_words)
         bare = (n_words >= 8) & ~line.rlike(r"[.!?:;…。！？]")
