@@ -3,14 +3,14 @@
 Words are runs of letters, of digits or of other characters; a run of letters is preceded by a word for its shape
 (upper case, capitalised) and one for "same as the word before", where that holds. Each word falls in one of `BUCKETS` buckets by hash. A bucket has
 a fixed sparse index vector of +1 and -1; its word vector is the sum of the index vectors of its neighbours (two on either
-side) over the fit sample, scaled to unit length, plus its own index vector. A document is the mean of its words' vectors.
+side) over all documents, which needs no labels, scaled to unit length, plus its own index vector. A document is the mean of its words' vectors.
 
 The network (`DIM` inputs, `HIDDEN` tanh units, one logit) is trained by Adam in numpy on the driver, on pooled vectors
 only: `FIT_ROWS` rows at most, half for each label, chosen by a hash of the id, from labelled rows whose crc32 of the id isn't
 2 modulo 4. The loss weighs the labels as often as they occur among all such rows. A fifth of the sample isn't trained on;
 the temperature that divides the logits is the one with the least loss on it.
 
-What travels to executors has a fixed size: `BUCKETS` x `DIM` floats. Every row of the input is scored, whole, in one map.
+What travels to executors and to the driver has a fixed size: `BUCKETS` x `DIM` numbers; the tasks' sums are added up in `SLICES` parts. Every row of the input is scored, whole, in one map.
 
 Defined results: a null or empty text, or one without words, scores 0; several labels of one id count as the lowest, null labels as none;
 without labelled rows of both kinds the score is the share of label 1 (0.5 without any); a null doc_id isn't held out;
@@ -34,6 +34,7 @@ from .shared import table
 BUCKETS, DIM, HIDDEN, FIT_ROWS, THRESHOLD, WINDOW = 1 << 14, 64, 24, 8000, 0.7, 2
 #: Buckets of the words for shapes.
 UPPER, TITLE, SAME, RESERVED = 0, 1, 2, 8
+SLICES = 64
 
 
 def index_vectors(buckets: int = BUCKETS, dim: int = DIM, ones: int = 6) -> np.ndarray:
@@ -166,14 +167,20 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         index = spark.sparkContext.broadcast(index_vectors())
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros_like(index.value)
+            total = np.zeros((BUCKETS, DIM), np.int64)
             for b in batches:
-                total += context_sums(b.column(1), index.value)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
-
-        context = np.zeros((BUCKETS, DIM), np.float32)
-        for r in sample.select("doc_id", "text").mapInArrow(sums, "sums binary").toLocalIterator():
-            context += np.frombuffer(r["sums"], np.float32).reshape(BUCKETS, DIM)
+                total += np.rint(context_sums(b.column(0), index.value)).astype(np.int64)
+            for k, part in enumerate(np.split(total, SLICES)):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "sums"])
+
+        def add_up(t: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(x.as_py(), np.int64) for x in t.column("sums"))
+            return pa.table({"slice": t.column("slice")[:1].cast(pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+        context = np.zeros((SLICES, BUCKETS // SLICES * DIM), np.int64)
+        for r in docs.select("text").mapInArrow(sums, "slice int, sums binary").groupBy("slice").applyInArrow(add_up, "slice int, sums binary").toLocalIterator():
+            context[r["slice"]] += np.frombuffer(r["sums"], np.int64)
+        context = context.reshape(BUCKETS, DIM).astype(np.float32)
         vectors = context / (np.linalg.norm(context, axis=1, keepdims=True) + 1e-6) + index_vectors() / np.sqrt(6).astype(np.float32)
         own = spark.sparkContext.broadcast(vectors)
 
