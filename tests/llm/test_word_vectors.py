@@ -6,11 +6,27 @@ import pyarrow as pa
 from tracewright.llm import quality_classifier as qc
 
 
-def test_vectors_of_all_documents(spark):
-    texts = [f"good text number {i}" for i in range(20)] + ["unseen words stand beside unlabelled neighbours", None]
+def brute_sums(texts, index):
+    """Word by word, neighbour by neighbour."""
+    out = np.zeros(index.shape)
+    words, doc = qc.word_buckets(pa.array(texts))
+    for i in range(len(words)):
+        for j in range(max(0, i - qc.WINDOW), min(len(words), i + qc.WINDOW + 1)):
+            if i != j and doc[i] == doc[j]:
+                out[words[i]] += index[words[j]]
+    return out
+
+
+def test_vectors_of_all_documents(spark, monkeypatch):
+    texts = [f"good text number {i}" for i in range(20)] + ["unseen words stand beside unlabelled neighbours", None, "", "one", "echo echo echo ECHO 12 ,, x"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, quality int")
     index = qc.index_vectors()
-    context = qc.context_sums(pa.array(texts), index)
+    context = brute_sums(texts, index)
+    for most in (4_000_000, 7):
+        monkeypatch.setattr(qc, "MOST_PAIRS", most)
+        own = qc.ContextSums()
+        own.add(pa.array(texts, pa.string()))
+        assert np.array_equal(own.sums(), context)
     want = context / (np.linalg.norm(context, axis=1, keepdims=True) + 1e-6) + index / np.sqrt(6).astype(np.float32)
     assert np.allclose(qc.fit(docs, labels, fit_rows=8).vectors, want, atol=1e-5)

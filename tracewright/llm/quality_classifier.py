@@ -19,6 +19,7 @@ repeated rows are scored one by one; an empty table gives an empty table; other
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,17 +32,34 @@ from pyspark.sql import functions as F
 from .hashing import KIND, PLACE, mix, parts, runs, text_bytes
 from .shared import table
 
-BUCKETS, DIM, HIDDEN, FIT_ROWS, THRESHOLD, WINDOW = 1 << 14, 64, 24, 8000, 0.7, 2
+BITS, DIM, HIDDEN, FIT_ROWS, THRESHOLD, WINDOW = 14, 64, 24, 8000, 0.7, 2
+BUCKETS, MOST_PAIRS = 1 << BITS, 4_000_000
 #: Buckets of the words for shapes.
 UPPER, TITLE, SAME, RESERVED = 0, 1, 2, 8
 SLICES = 64
 
 
-def index_vectors(buckets: int = BUCKETS, dim: int = DIM, ones: int = 6) -> np.ndarray:
+def index_places(buckets: int = BUCKETS, dim: int = DIM, ones: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Where each bucket's index vector has its ones, and their signs, one row for each of them."""
     rng = np.random.default_rng(7)
+    places, signs = np.empty((ones, buckets), np.int64), np.empty((ones, buckets), np.float64)
+    for k in range(ones):
+        places[k] = rng.integers(0, dim, buckets)
+        signs[k] = rng.choice(np.float32([-1, 1]), buckets)
+    return places, signs
+
+
+def index_vectors(buckets: int = BUCKETS, dim: int = DIM, ones: int = 6) -> np.ndarray:
     out = np.zeros((buckets, dim), np.float32)
-    for _ in range(ones):
-        out[np.arange(buckets), rng.integers(0, dim, buckets)] += rng.choice(np.float32([-1, 1]), buckets)
+    for place, sign in zip(*index_places(buckets, dim, ones), strict=True):
+        out[np.arange(buckets), place] += sign.astype(np.float32)
+    return out
+
+
+def _before(flags: np.ndarray) -> np.ndarray:
+    """How many flags are set before each place, and in all."""
+    out = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=out[1:])
     return out
 
 
@@ -50,11 +68,10 @@ def word_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, off = text_bytes(texts)
     h, doc, start, length = runs(data, off, KIND)
     letters = KIND[data[start]] == 1 if len(start) else np.empty(0, bool)
-    capital = np.append(0, np.cumsum((data >= 65) & (data <= 90)))
+    capital = _before((data >= 65) & (data <= 90))
     upper = capital[start + length] - capital[start]
-    kinds = np.where(KIND[data] == 1, (data < 128) | (data >= 192), False)  # characters, not their further bytes
-    chars = np.append(0, np.cumsum(kinds))
-    size = chars[start + length] - chars[start]
+    further = _before((data & 0xC0) == 0x80)  # bytes of a character after its first
+    size = length - (further[start + length] - further[start])
     shout = letters & (upper >= 2) & (upper * 10 >= size * 6)
     title = letters & (upper >= 1) & ~shout
     before = np.full(len(h), -1)
@@ -72,25 +89,43 @@ def word_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, np.repeat(doc, extra + 1)
 
 
-def context_sums(texts: pa.Array, index: np.ndarray) -> np.ndarray:
-    """The sum of neighbours' index vectors by bucket."""
-    out = np.zeros_like(index)
-    for a, b in parts(texts):
-        w, doc = word_buckets(texts[a:b])
-        for at in range(0, len(w), 200_000):  # bounds memory for very long texts
-            s = slice(max(0, at - WINDOW), at + 200_000 + WINDOW)
-            x, d = w[s], doc[s]
-            ctx = np.zeros((len(x), index.shape[1]), np.float32)
+class ContextSums:
+    """The sum of neighbours' index vectors by bucket. Neighbours are counted as pairs of buckets first: a sum takes as many
+    additions as there are distinct pairs. `MOST_PAIRS` of them wait at most, so memory is bounded."""
+
+    def __init__(self, dim: int = DIM):
+        self.places, self.signs = index_places(dim=dim)
+        self.dim, self.total, self.keys, self.n = dim, np.zeros(BUCKETS * dim), [], 0
+
+    def add(self, texts: pa.Array) -> None:
+        for a, b in parts(texts):
+            w, doc = word_buckets(texts[a:b])
+            w = w.astype(np.uint32)
             for k in range(1, WINDOW + 1):
-                one = (d[k:] == d[:-k])[:, None]
-                ctx[k:] += index[x[:-k]] * one
-                ctx[:-k] += index[x[k:]] * one
-            keep = slice(at - s.start, at - s.start + 200_000)
-            x, ctx = x[keep], ctx[keep]
-            order = np.argsort(x, kind="stable")
-            first = np.flatnonzero(np.append(True, np.diff(x[order]) > 0))
-            out[x[order][first]] += np.add.reduceat(ctx[order], first)
-    return out
+                for at in range(0, max(0, len(w) - k), MOST_PAIRS):  # bounds memory for very long texts
+                    first, second = slice(at, min(at + MOST_PAIRS, len(w) - k)), slice(at + k, min(at + MOST_PAIRS + k, len(w)))
+                    keys = (w[first] << BITS | w[second])[doc[first] == doc[second]]
+                    self.keys.append(keys)
+                    self.n += len(keys)
+                    if self.n >= MOST_PAIRS:
+                        self.flush()
+
+    def flush(self) -> None:
+        if not self.n:
+            return
+        keys = np.sort(np.concatenate(self.keys))
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        count = np.diff(np.append(at, len(keys))).astype(np.float64)
+        one, other = (keys[at] >> BITS).astype(np.int64), (keys[at] & (BUCKETS - 1)).astype(np.int64)
+        for x, y in ((one, other), (other, one)):
+            row = x * self.dim
+            for place, sign in zip(self.places, self.signs, strict=True):
+                self.total += np.bincount(row + place[y], weights=count * sign[y], minlength=len(self.total))
+        self.keys, self.n = [], 0
+
+    def sums(self) -> np.ndarray:
+        self.flush()
+        return self.total.reshape(BUCKETS, self.dim)
 
 
 def pool(texts: pa.Array, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,11 +133,11 @@ def pool(texts: pa.Array, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n, total = np.zeros(len(texts)), np.zeros((len(texts), vectors.shape[1]))
     for a, b in parts(texts):
         w, doc = word_buckets(texts[a:b])
-        for at in range(0, len(w), 200_000):
-            x, d = w[at : at + 200_000], doc[at : at + 200_000] + a
+        n[a:b] = np.bincount(doc, minlength=b - a)
+        for at in range(0, len(w), 50_000):
+            x, d = w[at : at + 50_000], doc[at : at + 50_000] + a
             first = np.flatnonzero(np.append(True, np.diff(d) > 0))
             np.add.at(total, d[first], np.add.reduceat(vectors[x], first))
-            np.add.at(n, d, 1)
     return total / np.maximum(n, 1)[:, None], n
 
 
@@ -118,11 +153,16 @@ class Model:
     temperature: float
     constant: float | None = None
 
+    @functools.cached_property
+    def images(self) -> np.ndarray:
+        return self.vectors / self.scale @ self.w1
+
     def score(self, texts: pa.Array) -> np.ndarray:
-        x, n = pool(texts, self.vectors)
         if self.constant is not None:
-            return np.where(n > 0, self.constant, 0.0)
-        z = (np.tanh((x - self.mean) / self.scale @ self.w1 + self.b1) @ self.w2 + self.b2) / self.temperature
+            return np.where(pool(texts, self.vectors[:, :1])[1] > 0, self.constant, 0.0)
+        # the first layer is linear: means of the words' images under it, of HIDDEN numbers each, need no vectors of DIM
+        x, n = pool(texts, self.images)
+        z = (np.tanh(x - self.mean / self.scale @ self.w1 + self.b1) @ self.w2 + self.b2) / self.temperature
         return np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -500, 500))), 0.0)
 
 
@@ -164,13 +204,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").repartition(16, "doc_id")
     sample = sample.withColumn("__n", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where("__n = 1").drop("__n").persist()
     try:
-        index = spark.sparkContext.broadcast(index_vectors())
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((BUCKETS, DIM), np.int64)
+            context = ContextSums()
             for b in batches:
-                total += np.rint(context_sums(b.column(0), index.value)).astype(np.int64)
-            for k, part in enumerate(np.split(total, SLICES)):
+                context.add(b.column(0))
+            for k, part in enumerate(np.split(np.rint(context.sums()).astype(np.int64), SLICES)):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "sums"])
 
         def add_up(t: pa.Table) -> pa.Table:
