@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .shared import table
 
 TIERS, END_ID, FLUSH_TOKENS, STEP_TOKENS = (256, 512, 1024, 2048), 1, 2_000_000, 65_536
+LONG_BLANKS = 50_000
 VOCABULARY, SPECIALS = "byte_bpe_50k.tiktoken", {"<|endoftext|>": 50256}
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, tier bigint, step_group bigint"
 
@@ -52,12 +53,38 @@ def encoder(path: str | None = None):
     return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIALS)
 
 
+@functools.cache
+def _blanks():
+    import regex
+
+    return regex.compile(rf"\p{{White_Space}}{{{LONG_BLANKS},}}")
+
+
 def token_ids(text: str | None, path: str | None = None) -> np.ndarray:
     enc = encoder(path)
-    ids = enc.encode_to_numpy(text, allowed_special="all") if text else np.empty(0, np.uint32)
+    try:
+        ids = enc.encode_to_numpy(text, allowed_special="all") if text else np.empty(0, np.uint32)
+    except ValueError:  # the pattern's stack is too small for a very long run of white space
+        ids = np.array(beyond_pattern(text, path), np.uint32)
     return np.append(ids.astype(np.uint32), np.uint32(END_ID))
 
 
+def beyond_pattern(text: str, path: str | None = None) -> list[int]:
+    """The ids of a text with runs of white space that the pattern can't match. Such a run is one pre-token, but for its last character if
+    something follows; so it's encoded without the pattern, and what is around it by itself."""
+    enc, (special, special_id), out = encoder(path), *SPECIALS.items(), []
+    for k, part in enumerate(text.split(special)):
+        out += [special_id] * (k > 0)
+        at = 0
+        for m in _blanks().finditer(part):
+            end = m.end() - (m.end() < len(part))
+            out += enc.encode_ordinary(part[at : m.start()])
+            out += enc._encode_single_piece(part[m.start() : end].encode())
+            at = end
+        out += enc.encode_ordinary(part[at:])
+    return out
+
+
 class Piece:
     __slots__ = ("doc", "start", "ids", "total")
 
