@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracewright.llm import embedding_dedup, html_extraction, lm_scoring, mixing, ngram_join, packing, quality_classifier, quality_rules, token_counts, url_filter
@@ -43,6 +44,14 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+@pytest.fixture(scope="module")
+def written(spark, docs, tmp_path_factory):
+    """The documents as a table of several files."""
+    path = str(tmp_path_factory.mktemp("tables") / "documents.parquet")
+    docs.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def sets_of(k):
     out = {}
     for r in rows():
@@ -81,6 +90,19 @@ def test_ngram_join(docs, none, k, percent, block):
         assert ngram_join.jaccard_components(none, k, percent).count() == 0
 
 
+@pytest.mark.parametrize("fan", [8192, 3])
+def test_shingles_are_signed_by_exact_counts(written, fan):
+    held = Counter(s for r in rows() for s in ngram_join.shingle_sets(pa.array([r[1]], pa.string()), 5)[0].tolist())
+    want = Counter()
+    for r in rows():
+        s = ngram_join.shingle_sets(pa.array([r[1]], pa.string()), 5)[0]
+        h = ngram_join.mix(s + ngram_join.PLACE[5])
+        order = sorted(range(len(s)), key=lambda i: (held[int(s[i])], int(h[i])))[: len(s) - -(-80 * len(s) // 100) + 1]
+        want[(r[0], len(s), tuple(int(h[i]) for i in order if held[int(s[i])] > 1))] += 1
+    got = Counter((r["doc_id"], r["n"], tuple(x % (1 << 64) for x in r["signed"])) for r in ngram_join.counted_rows(written, 5, 80, 2000 if fan < 9 else 1 << 23, fan).collect())
+    assert got == want
+
+
 def test_trie_join_is_exact():
     base = rng.choice(4000, 60, replace=False)
     sets = [np.unique(np.append(rng.choice(base, int(n), replace=False), rng.choice(4000, int(m)))).astype(np.uint64) for n, m in zip(rng.integers(40, 60, 80), rng.integers(0, 9, 80), strict=True)]
@@ -184,6 +206,30 @@ def test_packing(docs, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_ids_of_long_white_space():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in (" " * 1_000_000 + "x", "\n" * 600_000 + " y", "a  b" + " \n\t" * 200_000 + "<|endoftext|>" + " " * 600_000 + "<|endoftext|> z", "é" + "\u3000" * 600_000 + "é", " " * 60_000 + "1" + " " * 700_000, "a" * 300_000 + " " * 600_000):
+        assert packing.token_ids(text).tolist() == [*tok.encode(text, add_special_tokens=False).ids, packing.END_ID]
+    for text in ("a" + " " * 90_000 + "b", "x \n" * 70_000, " " * 70_000):  # both ways where both can go
+        assert packing.beyond_pattern(text) == packing.token_ids(text)[:-1].tolist()
+
+
+def test_tiers_and_step_groups(written):
+    got = packing.pack_documents(written).collect()
+    windows, groups = defaultdict(int), defaultdict(dict)
+    for r in got:
+        windows[r["sequence_id"]] += r["length"]
+        groups[r["step_group"]][r["sequence_id"]] = r["tier"]
+    assert all(r["tier"] == windows[r["sequence_id"]] for r in got)
+    for g in groups.values():
+        assert sum(g.values()) <= packing.STEP_TOKENS
+    whole = [g for g in groups.values() if sum(g.values()) == packing.STEP_TOKENS]
+    assert len(groups) - len(whole) <= written.rdd.getNumPartitions()
+
+
 def test_quality_rules(docs, none):
     got = {r["doc_id"]: r for r in quality_rules.with_rules(docs, ["doc_id"]).collect()}
     for r in rows():
@@ -242,8 +288,8 @@ def test_token_counts(docs, none):
     assert [find(text, a, b) for a, b in token_counts.spans(text)] and sum((find(text, a, b) for a, b in token_counts.spans(text)), []) == find(text)
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_lm_scoring(docs, none, order):
+@pytest.mark.parametrize(("order", "block", "fan"), [(1, 1 << 23, 8192), (3, 1 << 23, 8192), (2, 2000, 4), (3, 3000, 2)])
+def test_lm_scoring(written, none, order, block, fan):
     words = [(r[0], WORD.findall((r[1] or "").translate(LOW))) for r in rows()]
     c = Counter(tuple(w[j : j + o]) for _, w in words for o in range(1, order + 1) for j in range(len(w) - o + 1))
     total, want = sum(len(w) for _, w in words), {}
@@ -255,7 +301,7 @@ def test_lm_scoring(docs, none, order):
                 s, o = s + math.log(0.4), o - 1
             s += math.log(c[tuple(w[j - o + 1 : j + 1])] / (c[tuple(w[j - o + 1 : j])] if o > 1 else total))
         want[i] = s / len(w) if w else None
-    got = lm_scoring.score_documents(docs, order).collect()
+    got = lm_scoring.score_documents(written, order, block_bytes=block, fan=fan).collect()
     assert len(got) == len(rows())
     for r in got:
         assert (r["score"] is None) == (want[r["doc_id"]] is None) and (r["score"] is None or math.isclose(r["score"], want[r["doc_id"]]))

@@ -4,11 +4,11 @@ Words are lower-cased (A-Z); n-grams are 64-bit hashes. A word with n - 1 words
 the n-gram occurs `MIN_COUNT` times or more in the corpus, else `BACKOFF` times the score by one word less; a single word scores
 count / number of words of the corpus. A document's score is the mean natural log of its words' scores.
 
-The relations are packed. Documents are dealt into blocks by hash. Each block sends its distinct n-grams with counts, sorted, to the
-count tables, which are partitioned by hash; the table's partition adds up what all blocks sent and returns to each block the total counts of its
-n-grams, in the order in which it sent them; the block joins them to the n-grams of its documents and sums per document. What is sent grows
-with the corpus, a frequent n-gram is one entry per block, and tasks hold a block or a table partition, whose numbers grow
-with the input. No text is cut and no count approximated.
+The relations are packed (see `exchange`). Documents are cut into blocks. The distinct n-grams of a block, of all orders, with their counts
+are its part of the count tables, which are partitioned by hash; a partition adds up the parts of all blocks, and is joined back to the blocks
+that hold its n-grams; each block joins the totals to the exploded n-grams of its documents and sums per document. What is sent grows with the
+corpus, a frequent n-gram is one entry per block, and tasks hold a block or a table partition, whose numbers grow with the
+input and whose sizes don't. No text is cut and no count approximated.
 
 Defined results: a null or empty text, or one without words, has 0 words and a null score; repeated rows count in the model and are scored each;
 a null doc_id stays null; an empty table gives an empty table; other columns are not read.
@@ -17,19 +17,17 @@ a null doc_id stays null; an empty table gives an empty table; other columns are
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .hashing import runs, shingles, squeeze, text_bytes, widen
+from .exchange import BLOCK_BYTES, FAN, column, fitting, ranked, with_totals
+from .hashing import runs, shingles, text_bytes
 from .shared import materialize, table
 
-ORDER, MIN_COUNT, BACKOFF = 2, 2, 0.4
-#: Blocks and table partitions for each partition of the input.
-BLOCKS, BUCKETS = 4, 2
+ORDER, MIN_COUNT, BACKOFF = 3, 2, 0.4
 
 
 def grams(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -47,77 +45,41 @@ def grams(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, list[np.
     return doc, place, out
 
 
-def packed(texts: pa.Array, order: int, buckets: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(order, bucket, sorted distinct n-grams, counts) of a block."""
-    _, place, by = grams(texts, order)
-    for o, g in enumerate(by, 1):
-        values, counts = np.unique(g[place >= o - 1], return_counts=True)
-        at = np.searchsorted(values, [np.uint64((b << 64) // buckets) for b in range(1, buckets)])
-        for b, (v, c) in enumerate(zip(np.split(values, at), np.split(counts, at), strict=True)):
-            if len(v):
-                yield o, b, v, c
-
-
-def score_documents(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
     """`(doc_id, n_words, n_backoff, score)` per row; n_backoff: words that did not score by the full order open to them."""
-    n = docs.rdd.getNumPartitions()
-    n_blocks, buckets = BLOCKS * n, BUCKETS * n
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block"))
-
-    def send(t: pa.Table) -> pa.Table:
-        block = t.column("block")[0].as_py() if len(t) else 0
-        rows = list(packed(t.column("text").combine_chunks(), order, buckets))
-        return pa.table(
-            {
-                "o": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([r[1] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()),
-                "grams": pa.array([squeeze(r[2]) for r in rows], pa.binary()), "counts": pa.array([r[3].astype(np.uint32).tobytes() for r in rows], pa.binary()),
-            }
-        )
-
-    sent = dealt.groupBy("block").applyInArrow(send, "o int, bucket int, block int, grams binary, counts binary")
-
-    def add_up(t: pa.Table) -> pa.Table:
-        values = [widen(x.as_py()) for x in t.column("grams")]
-        counts = [np.frombuffer(x.as_py(), np.uint32) for x in t.column("counts")]
-        distinct, at = np.unique(np.concatenate(values), return_inverse=True)
-        total = np.zeros(len(distinct), np.int64)
-        np.add.at(total, at, np.concatenate(counts))
-        back = np.split(total[at], np.cumsum([len(v) for v in values])[:-1])
-        return pa.table({"o": t.column("o"), "bucket": t.column("bucket"), "block": t.column("block"), "totals": pa.array([np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes() for x in back], pa.binary())})
-
-    totals = sent.groupBy("o", "bucket").applyInArrow(add_up, "o int, bucket int, block int, totals binary")
-
-    def finish(texts: pa.Table, known: pa.Table) -> pa.Table:
-        column = texts.column("text").combine_chunks()
-        doc, place, by = grams(column, order)
-        answers: dict[int, list] = {}
-        for o, b, x in zip(known.column("o").to_pylist(), known.column("bucket").to_pylist(), known.column("totals"), strict=True):
-            answers.setdefault(o, []).append((b, np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)))
+
+    def keys_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        _, place, by = grams(column(t, "text"), order)
+        return np.unique(np.concatenate([g[place >= o - 1] for o, g in enumerate(by, 1)]), return_counts=True)
+
+    def use(t: pa.Table, totals: np.ndarray) -> pa.Table:
+        texts = column(t, "text")
+        doc, place, by = grams(texts, order)
+        full = [place >= o - 1 for o in range(1, order + 1)]
+        values, at, _ = ranked(np.concatenate([g[f] for g, f in zip(by, full, strict=True)]))
+        joined = fitting(values, totals)[at]
+        del by, values, at
         count = []
-        for o, g in enumerate(by, 1):
-            full = place >= o - 1
-            c = np.zeros(len(g), np.int64)
-            if full.any():
-                _, at = np.unique(g[full], return_inverse=True)
-                c[full] = np.concatenate([x for _, x in sorted(answers[o], key=lambda p: p[0])])[at]
-            count.append(c)
+        for f, c in zip(full, np.split(joined, np.cumsum([f.sum() for f in full])[:-1]), strict=True):
+            count.append(np.zeros(len(doc), joined.dtype))
+            count[-1][f] = c
         log = np.zeros(len(doc))
         open_ = np.ones(len(doc), bool)
         backed = np.zeros(len(doc), bool)
         for o in range(order, 1, -1):
-            may = open_ & (place >= o - 1)
+            may = open_ & full[o - 1]
             hit = may & (count[o - 1] >= min_count)
-            context = np.append(0, count[o - 2][:-1])
-            log[hit] += np.log(count[o - 1][hit] / context[hit])
+            context = np.roll(count[o - 2], 1)  # a hit is never at the first word
+            log[hit] += np.log(count[o - 1][hit] / context[hit].astype(np.float64))
             open_ &= ~hit
             log[may & ~hit] += math.log(backoff)
             backed |= may & ~hit
-        log[open_] += np.log(count[0][open_]) if open_.any() else 0
-        size = len(column)
+        log[open_] += np.log(count[0][open_].astype(np.float64))
+        size = len(texts)
         sums = [np.bincount(doc, weights=w, minlength=size)[:size] for w in (np.ones(len(doc)), backed, open_, log)] if len(doc) else [np.zeros(size)] * 4
-        return pa.table({"doc_id": texts.column("doc_id"), **{k: pa.array(v.astype(np.int64)) for k, v in zip(("n_words", "n_backoff", "n_single"), sums, strict=False)}, "log": pa.array(sums[3])})
+        return pa.table({"doc_id": column(t, "doc_id"), **{k: pa.array(v.astype(np.int64)) for k, v in zip(("n_words", "n_backoff", "n_single"), sums, strict=False)}, "log": pa.array(sums[3])})
 
-    parts = dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(finish, "doc_id bigint, n_words bigint, n_backoff bigint, n_single bigint, log double")
+    parts = with_totals(docs, ["doc_id", "text"], keys_of, use, "doc_id bigint, n_words bigint, n_backoff bigint, n_single bigint, log double", block_bytes, fan)
     parts = materialize(parts)
     words = parts.agg(F.sum("n_words")).first()[0] or 1
     mean = (F.col("log") - F.col("n_single") * F.lit(math.log(words))) / F.col("n_words")

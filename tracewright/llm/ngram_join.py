@@ -36,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .hashing import PLACE, mix, parts, runs, shingles, squeeze, text_bytes, widen
+from .exchange import BLOCK_BYTES, FAN, column, fitting, with_totals
+from .hashing import PLACE, mix, parts, runs, shingles, text_bytes
 from .shared import components, materialize, table
 
 K, PERCENT, BAND, BLOCK_SHINGLES, MAX_BROADCAST_ROWS = 3, 90, 1.6, 1_500_000, 100_000
@@ -231,47 +232,25 @@ def shingle_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def counted_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """`shingle_rows` with the shingles ordered by the number of documents that hold them, up to 255, then by hash. A set signs for those of
-    its first n - ceil(p n / 100) + 1 shingles that another document holds too.
+def counted_rows(docs: DataFrame, k: int, percent: int, block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
+    """`shingle_rows` with the shingles ordered by the number of documents that hold them, then by hash. A set signs for those of
+    its first n - ceil(p n / 100) + 1 shingles that another document holds too. The counts are those of `exchange`, of all documents."""
 
-    Blocks of documents send their distinct shingles with counts to partitions by hash, which add up and answer in the
-    order of what was sent; an answer is a byte per shingle. A shingle that many documents hold is one entry per block."""
-    n = docs.rdd.getNumPartitions()
-    n_blocks, buckets = 4 * n, 2 * n
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block"))
+    def keys_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(np.concatenate(shingle_sets(column(t, "text"), k)), return_counts=True)
 
-    def send(t: pa.Table) -> pa.Table:
-        values, counts = np.unique(np.concatenate(shingle_sets(t.column("text").combine_chunks(), k)), return_counts=True)
-        at = np.searchsorted(values, [np.uint64((b << 64) // buckets) for b in range(1, buckets)])
-        rows = [(b, squeeze(v), np.minimum(c, 255).astype(np.uint8).tobytes()) for b, (v, c) in enumerate(zip(np.split(values, at), np.split(counts, at), strict=True)) if len(v)]
-        block = t.column("block")[0].as_py()
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "shingles": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
-
-    sent = dealt.groupBy("block").applyInArrow(send, "bucket int, block int, shingles binary, counts binary")
-
-    def add_up(t: pa.Table) -> pa.Table:
-        values = [widen(x.as_py()) for x in t.column("shingles")]
-        distinct, at = np.unique(np.concatenate(values), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in t.column("counts")]))
-        back = np.split(np.minimum(total[at], 255).astype(np.uint8), np.cumsum([len(v) for v in values])[:-1])
-        return pa.table({"bucket": t.column("bucket"), "block": t.column("block"), "totals": pa.array([x.tobytes() for x in back], pa.binary())})
-
-    totals = sent.groupBy("bucket").applyInArrow(add_up, "bucket int, block int, totals binary")
-
-    def finish(texts: pa.Table, known: pa.Table) -> pa.Table:
-        sets = shingle_sets(texts.column("text").combine_chunks(), k)
+    def use(t: pa.Table, totals: np.ndarray) -> pa.Table:
+        sets = shingle_sets(column(t, "text"), k)
         values = np.unique(np.concatenate(sets))
-        answers = sorted(zip(known.column("bucket").to_pylist(), known.column("totals").to_pylist(), strict=True))
-        count = np.frombuffer(b"".join(x for _, x in answers), np.uint8)
+        count = fitting(values, totals)
         signed = []
         for s in sets:
             c, h = count[np.searchsorted(values, s)], mix(s + PLACE[5])
             first = np.lexsort((h, c))[: len(s) - -(-percent * len(s) // 100) + 1]
             signed.append(h[first][c[first] > 1])
-        return pa.Table.from_batches([as_batch(texts.column("doc_id").combine_chunks(), sets, signed)])
+        return pa.Table.from_batches([as_batch(column(t, "doc_id"), sets, signed)])
 
-    return dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(finish, SCHEMA)
+    return with_totals(docs, ["doc_id", "text"], keys_of, use, SCHEMA, block_bytes, fan)
 
 
 def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
