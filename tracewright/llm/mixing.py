@@ -4,18 +4,19 @@ Sources are ranked by code point, null last, and get the weights of `WEIGHTS` in
 words by weight; a source takes at most `MAX_PASSES` times its own words, and what it can't take goes to the others by
 weight until no source is above its limit. This share is the source's target.
 
-Each source's documents are shuffled (by the md5 of the id) and queue in that order, `MAX_PASSES` times over. A
+Each source's documents are shuffled (by the md5 of id and text) and queue in that order, `MAX_PASSES` times over. A
 document's virtual finish is the source's words up to its end divided by the target, so every source has been served in
 proportion to its target at every point of virtual time, and at time 1 the words served add up to the budget. The mix is
 the schedule range-sorted by virtual finish and cut there; the document in service at that moment is cut too, so each
 source takes its target exactly, less a fraction of a word.
 
-The queue position is a prefix sum over a source in shuffled order. It's computed in two levels, buckets of the shuffle
-key and rows within a bucket, with as many buckets as rows ask for: a source that holds most rows is spread over
-many tasks. Only ids, keys and sizes are shuffled. The distinct sources are ranked in one task: a list of names.
+The queue position is a prefix sum over a source in shuffled order. It's computed by levels: rows within a bucket of the shuffle key,
+buckets within the 4096 that share a longer prefix's beginning, and so on up, with as many buckets as rows ask for. A source that holds most
+rows is spread over many tasks, and no window holds more than a bucket's rows or 4096 sums. Only ids, keys and sizes are
+shuffled. The distinct sources are ranked in one task: a list of names.
 
-Defined results: a null text has size 0 and takes nothing; a null source is a source of its own, the last; equal ids
-queue by size; an empty table gives an empty table; other columns are not read (`mix`: are returned as they are, a
+Defined results: a null text has size 0 and takes nothing; a null source is a source of its own, the last; rows of equal or null id
+queue by the md5 of their texts, rows that repeat in any order; an empty table gives an empty table; other columns are not read (`mix`: are returned as they are, a
 document once for every pass that takes it).
 """
 
@@ -29,7 +30,9 @@ from .shared import WORD, materialize, table
 
 WEIGHTS, BUDGET, MAX_PASSES = (3, 1, 2), 1.5, 2
 #: Rows of a bucket that one task sorts, on average.
-ROWS_PER_BUCKET = 4096
+ROWS_PER_BUCKET = 256
+#: Hex digits of the key by which a level of sums is finer than the one above.
+LEVEL_DIGITS = 3
 
 
 def n_words(text: Column) -> Column:
@@ -60,11 +63,24 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, passes: i
     return fair.select("source", "source_size", "weight", share.alias("target"))
 
 
+def before(by: DataFrame, digits: int) -> DataFrame:
+    """`(__source, __bucket, __before)`: the sum of `__sum` over the source's buckets before, whose names have so many digits."""
+    above = max(0, digits - LEVEL_DIGITS)
+    coarse = F.substring("__bucket", 1, above) if above else F.lit("")
+    own = by.withColumn("__coarse", coarse)
+    inner = (F.sum("__sum").over(W.partitionBy("__source", "__coarse").orderBy("__bucket")) - F.col("__sum")).alias("__inner")
+    if not above:
+        return own.select("__source", "__bucket", inner).withColumnRenamed("__inner", "__before")
+    up = before(own.groupBy("__source", F.col("__coarse").alias("__bucket")).agg(F.sum("__sum").alias("__sum")), above)
+    up = up.select("__source", F.col("__bucket").alias("__coarse"), "__before")
+    return own.select("__source", "__coarse", "__bucket", inner).join(up, ["__source", "__coarse"]).select("__source", "__bucket", (F.col("__before") + F.col("__inner")).alias("__before"))
+
+
 def schedule(docs: DataFrame, keep: list[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET, **how) -> DataFrame:
     """A row per document: `keep`, doc_id, source, size, source_size, target, virtual_finish (of the first pass) and
     takes, the words that each pass takes: 0 where the pass comes after the cut."""
     passes = how.get("passes", MAX_PASSES)
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
     slim = [F.col("doc_id"), F.col("source"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("__source"), n_words(F.col("text")).alias("size"), key.alias("__key")]
     base = materialize(docs.select(*slim))
     digits, rows = 0, base.count()
@@ -73,7 +89,7 @@ def schedule(docs: DataFrame, keep: list[str] = (), rows_per_bucket: int = ROWS_
     bucket = (F.substring("__key", 1, digits) if digits else F.lit("")).alias("__bucket")
     cut = (docs.select(*keep, *slim) if keep else base).select("*", bucket)
     by = base.select("__source", "size", bucket).groupBy("__source", "__bucket").agg(F.sum("size").alias("__sum"))
-    base_of = by.select("__source", "__bucket", (F.sum("__sum").over(W.partitionBy("__source").orderBy("__bucket")) - F.col("__sum")).alias("__before"))
+    base_of = before(by, digits)
     goal = targets(base, **how).select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("__source"), "source_size", "target")
     # one row for each source and bucket: a few thousand times fewer than documents; adaptive execution picks the join
     offsets = base_of.join(goal, "__source")
@@ -101,7 +117,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS k,
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS k,
          len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight FROM s),
