@@ -9,7 +9,7 @@ cuts into blocks of `BLOCK` classes, each with its bounding box.
 Blocks are paired if their boxes are at most eps apart, found by an equi-join on the cells of the two first axes that
 they touch; projections shrink distances, so the blocks skipped are provably too far. A pair of blocks is joined by
 halving the longer interval again and again, skipping intervals whose boxes are too far apart, down to small matrix products.
-The join is exact. A task holds two blocks at a time, whatever the size of a group; it gives counts per class and the
+The join is exact. A task holds two blocks at a time, whatever the size of a group, and a block meets `PARTNERS` others at a time; it gives counts per class and the
 edges of a spanning forest, never all pairs.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows with a null label or null vec_id, link with nothing: 0
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .shared import components, materialize, table
 
-COSINE, AXES, PCA_ROWS, BLOCK, LEAF = 0.98, 6, 4096, 512, 48
+COSINE, AXES, PCA_ROWS, BLOCK, LEAF, PARTNERS = 0.98, 6, 4096, 512, 48, 16
 
 
 def units(x: np.ndarray) -> np.ndarray:
@@ -102,7 +102,7 @@ def forest(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         row = new
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, axes: int = AXES, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, axes: int = AXES, block: int = BLOCK, partners: int = PARTNERS) -> DataFrame:
     """`(vec_id, n_links, component_id, kept)` per row."""
     eps = float(np.sqrt(2 - 2 * cosine)) * (1 + 1e-9) + 1e-9
     slim = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
@@ -170,20 +170,28 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, axes: int = AXES
 
     gap2 = F.aggregate(F.zip_with(F.zip_with("low_a", "high_b", lambda x, y: x - y), F.zip_with("low_b", "high_a", lambda x, y: x - y), lambda x, y: F.greatest(F.lit(0.0), x, y)), F.lit(0.0), lambda s, g: s + g * g)
     pairs = touched(box, 0, "a").join(touched(box, 1, "b"), ["label", "dim", *[f"c{k}" for k in range(min(2, axes))]]).where((F.col("block_a") <= F.col("block_b")) & (gap2 <= eps * eps)).select("block_a", "block_b").distinct()
-    # the later block of a pair travels to the earlier one, which is its own first partner
-    meet = pairs.join(blocks.select(F.col("block").alias("block_b"), "dim", "cids", "ws", "x"), "block_b").repartition("block_a").sortWithinPartitions("block_a", "block_b")
+    # the later block of a pair travels to the earlier one, which is its own first partner; a block with many partners meets them in
+    # several chunks, and comes to each of them
+    chunks = pairs.groupBy("block_a").agg(F.ceil(F.count(F.lit(1)) / partners).cast("int").alias("chunks"))
+    own_chunks = F.sequence(F.lit(0), F.col("chunks") - 1)
+    one_chunk = F.array(F.pmod(F.xxhash64("block_b"), F.col("chunks")).cast("int"))
+    dealt = pairs.join(chunks, "block_a").select("block_a", "block_b", F.explode(F.when(F.col("block_a") == F.col("block_b"), own_chunks).otherwise(one_chunk)).alias("chunk"))
+    key = ["block_a", "chunk"]
+    meet = dealt.join(blocks.select(F.col("block").alias("block_b"), "dim", "cids", "ws", "x"), "block_b").repartition(*key).sortWithinPartitions(*key, "block_b")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
         for b in batches:
             for r in range(len(b)):
-                first, second = b.column("block_a")[r].as_py(), b.column("block_b")[r].as_py()
+                first, second, chunk = (b.column(c)[r].as_py() for c in ("block_a", "block_b", "chunk"))
                 cid, w = (np.frombuffer(b.column(c)[r].as_py(), np.int64) for c in ("cids", "ws"))
                 x = units(np.frombuffer(b.column("x")[r].as_py(), np.float64).reshape(len(cid), -1))
                 p = project(x, directions.value)
                 if first == second:
-                    own = (first, cid, w, x, p)
-                assert own[0] == first
+                    own = ((first, chunk), cid, w, x, p)
+                    if chunk:
+                        continue
+                assert own[0] == (first, chunk)
                 link = interval_join(own[3], x, own[4], p, eps, cosine)
                 if first == second:
                     np.fill_diagonal(link, False)
@@ -197,7 +205,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, axes: int = AXES
                 if sum(map(len, us)):
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int64)) for v in (us, vs, ns)], ["u", "v", "n"])
 
-    found = materialize(meet.select("block_a", "block_b", "cids", "ws", "x").mapInArrow(join, "u bigint, v bigint, n bigint"))
+    found = materialize(meet.select("block_a", "block_b", "chunk", "cids", "ws", "x").mapInArrow(join, "u bigint, v bigint, n bigint"))
     links = found.groupBy(F.col("u").alias("cid")).agg(F.sum("n").alias("linked"))
     group = components(found.select("u", "v")).withColumnRenamed("node", "cid")
     of = classes.join(links, "cid", "left").join(group, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
