@@ -154,8 +154,8 @@ def test_embedding_dedup(spark):
     df = spark.createDataFrame(data, "vec_id bigint, embedding array<float>, label int")
     ok = [(i, np.array(v, float) / np.linalg.norm(np.array(v, float)), g) for i, v, g in data if i is not None and (i < 900 or i in (905, 907, 908))]
     links = {i: [j for j, w, h in ok if j != i and g == h and len(v) == len(w) and v @ w >= 0.98] for i, v, g in ok}
-    for block in (512, 8):
-        got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, block=block).collect()}
+    for block, partners in ((512, 16), (8, 2)):
+        got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, block=block, partners=partners).collect()}
         assert len(got) == len(data)
         for i, _, _ in data:
             assert got[i]["n_links"] == len(links.get(i, [])), i
@@ -245,8 +245,9 @@ def test_quality_rules(docs, none):
     assert quality_rules.with_rules(none).count() == 0
 
 
-@pytest.mark.parametrize("per_bucket", [4096, 4])
-def test_mixing(docs, none, per_bucket):
+@pytest.mark.parametrize(("per_bucket", "digits"), [(256, 3), (1, 1)])
+def test_mixing(docs, none, per_bucket, digits, monkeypatch):
+    monkeypatch.setattr(mixing, "LEVEL_DIGITS", digits)
     got = mixing.schedule(docs, rows_per_bucket=per_bucket).collect()
     sizes, taken, target = Counter(), Counter(), {}
     for r in got:

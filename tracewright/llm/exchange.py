@@ -27,37 +27,41 @@ from pyspark.sql import functions as F
 from .hashing import squeeze, widen
 
 BLOCK_BYTES, FAN = 8 << 20, 8192
+#: Buckets for each block, where one level does.
+BUCKETS = 4
 PIECE = "block bigint, bucket bigint, keys binary, counts binary"
 ANSWER = "block bigint, bucket bigint, totals binary"
 #: (sorted distinct keys, counts) of a block's documents.
 KeysOf = Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]
 
 
+def cut(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Number and rows of each block of a task. Rows decide where a block ends, so the edges of batches don't matter."""
+    number, held, size = TaskContext.get().partitionId() << 32, [], 0
+    for b in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column("text")), 0)).astype(np.int64) + 16)
+        at = done = 0
+        while at < len(b):
+            stop = min(len(b), int(np.searchsorted(ends, done + block_bytes - size, "left")) + 1)
+            held.append(b.slice(at, stop - at))
+            size, done, at = size + int(ends[stop - 1]) - done, int(ends[stop - 1]), stop
+            if size >= block_bytes:
+                yield number, held
+                number, held, size = number + 1, [], 0
+    if held:
+        yield number, held
+
+
 def packed(docs: DataFrame, columns: list[str], block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`(block, data)`: the columns, `text` among them, of a block's rows, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size = TaskContext.get().partitionId() << 32, [], 0
-
-        def out() -> pa.RecordBatch:
+        for number, held in cut(batches, block_bytes):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
                 for b in held:
                     w.write_batch(b)
-            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "data"])
-
-        for b in batches:
-            ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column("text")), 0)).astype(np.int64) + 16)
-            at = done = 0
-            while at < len(b):  # by rows, so that the edges of batches don't matter
-                stop = min(len(b), int(np.searchsorted(ends, done + block_bytes - size, "left")) + 1)
-                held.append(b.slice(at, stop - at))
-                size, done, at = size + int(ends[stop - 1]) - done, int(ends[stop - 1]), stop
-                if size >= block_bytes:
-                    yield out()
-                    number, held, size = number + 1, [], 0
-        if held:
-            yield out()
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "data"])
 
     return docs.select(*columns).mapInArrow(run, "block bigint, data binary")
 
@@ -194,16 +198,15 @@ def with_totals(docs: DataFrame, columns: list[str], keys_of: KeysOf, use: Calla
     levels = 1
     while fan**levels < blocks:
         levels += 1
-    step = max(1, next(k for k in range(1, fan + 1) if k**levels >= blocks) if levels > 1 else blocks)
-    own = packed(docs, columns, block_bytes)
+    step = next(k for k in range(1, fan + 1) if k**levels >= blocks) if levels > 1 else min(fan, BUCKETS * blocks)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for block, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                yield from split(block, *keys_of(unpacked(data)), step, 0, step).to_batches()
+        for number, held in cut(batches, block_bytes):
+            yield from split(number, *keys_of(pa.Table.from_batches(held).combine_chunks()), step, 0, step).to_batches()
 
-    pieces = own.mapInArrow(send, PIECE)
+    pieces = docs.select(*columns).mapInArrow(send, PIECE)
     known = totals(pieces, blocks, step, step if levels > 1 else blocks)
+    own = packed(docs, columns, block_bytes)
 
     def finish(block: pa.Table, known: pa.Table) -> pa.Table:
         return use(unpacked(block.column("data")[0]), known_totals(known))

@@ -28,12 +28,13 @@ def words(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one is set only where none is."""
+    """The folder that the driver and all executors share. Only a session that runs in one process may do without the setting."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tracewright-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    if at:
+        return at
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+    return f"file://{tempfile.gettempdir()}/tracewright"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of `edges(u, v)`, two columns of one type: rows `(node, component)` with the smallest node
+    """Connected components of `edges(u, v)`, two BIGINT columns: rows `(node, component)` with the smallest node
     of each component, for every node that has an edge to another node.
 
     Alternates large-star and small-star rounds, so the number of rounds is logarithmic and no step gathers a
@@ -60,10 +61,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not state[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
+        low = _minima(both)
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_low, "u")
+        small = large.join(_minima(large), "u")
         e2 = small.select(F.col("u"), F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
         e = materialize(e2)
         now = _state(e)
@@ -76,6 +76,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return star.select(F.col("u").alias("node"), "component").unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _minima(e: DataFrame) -> DataFrame:
+    """`(u, m)`. The key is made anew, so that a join on it shuffles the minima by themselves: adaptive execution splits the hot keys of a
+    join of two shuffles, not of one with an aggregate."""
+    return e.groupBy("u").agg(F.min("v").alias("m")).select(F.bitwise_not(F.bitwise_not("u")).alias("u"), "m")
+
+
 def _state(e: DataFrame) -> tuple:
     r = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return (r["n"], r["h"])
