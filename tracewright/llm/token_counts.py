@@ -25,9 +25,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .hashing import trimmed
 from .shared import table
 
-SHIFT, MAX_NODES = 10.0, 1_000_000
+SHIFT, MAX_NODES, LONG = 10.0, 1_000_000, 4096
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -50,46 +51,80 @@ def pattern():
     return regex.compile(public_tokenizers.PATTERN)
 
 
+class Endings:
+    """The vocabulary as a trie of reversed pieces: node k's child by byte c is `child[k << 8 | c]`, `score[k]` that of the piece that
+    ends there, or None. From a place in a text, a walk back along it meets the pieces that end there and no other bytes."""
+
+    def __init__(self, scores: dict[bytes, float]):
+        self.child: dict[int, int] = {}
+        self.score: list[float | None] = [None]
+        for piece, s in scores.items():
+            node = 0
+            for c in reversed(piece):
+                nxt = self.child.get(node << 8 | c)
+                if nxt is None:
+                    nxt = self.child[node << 8 | c] = len(self.score)
+                    self.score.append(None)
+                node = nxt
+            self.score[node] = s
+        self.longest = max(map(len, scores))
+
+    def best(self, data: bytes, end: int, at) -> tuple[float, int]:
+        """Score and tokens of the best split of data[:end], where `at(start)` gives those of data[:start]."""
+        child, score, node, best, fewest = self.child, self.score, 0, -math.inf, 0
+        for start in range(end - 1, -1, -1):
+            node = child.get(node << 8 | data[start])
+            if node is None:
+                break
+            s = score[node]
+            if s is not None:
+                total, n = at(start)
+                if total + s > best or (total + s == best and n + 1 < fewest):
+                    best, fewest = total + s, n + 1
+        return best, fewest
+
+
 class ForwardTrie:
-    """Pre-tokens in a trie of bytes; node k has the children of `children[k]`, the score `score[k]` and the tokens
-    `count[k]` of its path's best split."""
+    """Pre-tokens in a trie of bytes; node k has the children of `children[k]`, the score and the number of tokens `state[k]` of its path's best
+    split. Pre-tokens of more than `LONG` bytes, which share no prefix worth keeping, are scored without a place in the trie."""
 
     def __init__(self, scores: dict[bytes, float]):
-        self.scores, self.longest = scores, max(map(len, scores))
+        self.endings = Endings(scores)
         self.clear()
 
     def clear(self) -> None:
         self.children: list[dict[int, int] | None] = [None]
-        self.score, self.count = [0.0], [0]
+        self.state: list[tuple[float, int]] = [(0.0, 0)]
         self.terminals: dict[str, int] = {}
 
     def insert(self, pre_token: str) -> int:
         """The number of tokens; also kept in `terminals`."""
-        data, scores, longest = pre_token.encode(), self.scores, self.longest
-        path, node = [0], 0
+        data = pre_token.encode()
+        if len(data) > LONG:
+            return self.alone(data)
+        state, children, path, node = self.state, self.children, [0], 0
         for end in range(1, len(data) + 1):
-            below = self.children[node]
+            below = children[node]
             nxt = below.get(data[end - 1]) if below else None
             if nxt is None:
-                best, fewest = -math.inf, 0
-                for start in range(max(0, end - longest), end):
-                    s = scores.get(data[start:end])
-                    if s is not None:
-                        at = path[start]
-                        total, n = self.score[at] + s, self.count[at] + 1
-                        if total > best or (total == best and n < fewest):
-                            best, fewest = total, n
-                nxt = len(self.score)
+                nxt = len(state)
                 if below is None:
-                    below = self.children[node] = {}
+                    below = children[node] = {}
                 below[data[end - 1]] = nxt
-                self.children.append(None)
-                self.score.append(best)
-                self.count.append(fewest)
+                children.append(None)
+                state.append(self.endings.best(data, end, lambda start: state[path[start]]))
             node = nxt
             path.append(node)
-        self.terminals[pre_token] = self.count[node]
-        return self.count[node]
+        self.terminals[pre_token] = state[node][1]
+        return state[node][1]
+
+    def alone(self, data: bytes) -> int:
+        """The number of tokens, with the states of as many places as a piece is long."""
+        wide = self.endings.longest + 1
+        ring = [(0.0, 0)] * wide
+        for end in range(1, len(data) + 1):
+            ring[end % wide] = self.endings.best(data, end, lambda start: ring[start % wide])
+        return ring[len(data) % wide][1]
 
 
 @functools.cache
@@ -117,14 +152,14 @@ def count_tokens(docs: DataFrame, path: str | None = None, max_nodes: int = MAX_
                             c = trie.insert(word)
                         n += k
                         total += k * c
-                    if len(trie.score) > max_nodes:
+                    if len(trie.state) > max_nodes:
                         trie.clear()
                 pre.append(n)
                 tokens.append(total)
                 size.append(len(text.encode()))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (pre, tokens, size))], ["doc_id", "n_pre_tokens", "n_tokens", "n_bytes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_pre_tokens bigint, n_tokens bigint, n_bytes bigint")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id bigint, n_pre_tokens bigint, n_tokens bigint, n_bytes bigint")
 
 
 def spans(text: str, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
