@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import squeeze, widen
+from .hashing import squeeze, trim, trimmed, widen
 
 BLOCK_BYTES, FAN = 8 << 20, 8192
 #: Buckets for each block, where one level does.
@@ -63,7 +63,7 @@ def packed(docs: DataFrame, columns: list[str], block_bytes: int = BLOCK_BYTES)
                     w.write_batch(b)
             yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "data"])
 
-    return docs.select(*columns).mapInArrow(run, "block bigint, data binary")
+    return docs.select(*columns).mapInArrow(trimmed(run), "block bigint, data binary")
 
 
 def unpacked(data: pa.Scalar) -> pa.Table:
@@ -169,6 +169,7 @@ def totals(pieces: DataFrame, blocks: int, width: int, fan: int) -> DataFrame:
     if blocks <= fan:
 
         def answer_all(t: pa.Table) -> pa.Table:
+            trim()
             _, total, at, ends = added_up(t)
             return answers(t, total, at, ends)
 
@@ -204,11 +205,12 @@ def with_totals(docs: DataFrame, columns: list[str], keys_of: KeysOf, use: Calla
         for number, held in cut(batches, block_bytes):
             yield from split(number, *keys_of(pa.Table.from_batches(held).combine_chunks()), step, 0, step).to_batches()
 
-    pieces = docs.select(*columns).mapInArrow(send, PIECE)
+    pieces = docs.select(*columns).mapInArrow(trimmed(send), PIECE)
     known = totals(pieces, blocks, step, step if levels > 1 else blocks)
     own = packed(docs, columns, block_bytes)
 
     def finish(block: pa.Table, known: pa.Table) -> pa.Table:
+        trim()
         return use(unpacked(block.column("data")[0]), known_totals(known))
 
     return own.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(finish, schema)

@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .hashing import trimmed
 from .shared import lower_ascii, table
 
 MIN_PAGES, NOISE_BELOW, MAX_BROADCAST_NODES, MAX_DEPTH = 8, 0.25, 100_000, 12
@@ -288,7 +289,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
                     ids.append(page)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(names, pa.string()), *[pa.array(x, pa.int64()) for x in (contents, styles, ids)]], ["host", "node", "content", "style", "page"])
 
-    rows = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, node string, content bigint, style bigint, page bigint").distinct()
+    rows = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(trimmed(run), "host string, node string, content bigint, style bigint, page bigint").distinct()
     kinds = F.posexplode(F.array("content", "style")).alias("kind", "hash")
     counts = rows.select("host", "node", kinds).groupBy("host", "node", "kind", "hash").agg(F.count(F.lit(1)).alias("c"))
     sums = counts.groupBy("host", "node", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
@@ -324,7 +325,7 @@ def extract_pages(pages: DataFrame, max_broadcast: int = MAX_BROADCAST_NODES) ->
                 texts.append(extract(html.as_py(), known))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.select("page_id", "url", "html", "__host", "__nodes").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return rows.select("page_id", "url", "html", "__host", "__nodes").mapInArrow(trimmed(run), "page_id bigint, url string, text string, n_chars bigint")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

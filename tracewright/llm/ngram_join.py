@@ -36,11 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .exchange import BLOCK_BYTES, FAN, column, fitting, with_totals
-from .hashing import PLACE, mix, parts, runs, shingles, text_bytes
+from .exchange import FAN, column, fitting, with_totals
+from .hashing import PLACE, mix, parts, runs, shingles, text_bytes, trimmed
 from .shared import components, materialize, table
 
-K, PERCENT, BAND, BLOCK_SHINGLES, MAX_BROADCAST_ROWS = 3, 90, 1.6, 1_500_000, 100_000
+K, PERCENT, BAND, BLOCK_BYTES, BLOCK_SHINGLES, MAX_BROADCAST_ROWS = 3, 90, 1.6, 4 << 20, 1_500_000, 100_000
 #: Sets of SHORT shingles or more sign for parts, if the percentage is LEAST_PARTS or more.
 SHORT, LEAST_PARTS = 45, 85
 
@@ -229,7 +229,7 @@ def shingle_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
             sets = shingle_sets(b.column(1), k)
             yield as_batch(b.column(0), sets, [signatures(s, percent) for s in sets])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), SCHEMA)
 
 
 def counted_rows(docs: DataFrame, k: int, percent: int, block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
@@ -279,7 +279,7 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, bloc
             data = pa.array([s.tobytes() if r else None for s, r in zip(found, right, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("cid", "shard", "blocks", "own")), data], ["cid", "shard", "blocks", "own", "data"]).filter(pa.array(right))
 
-    with_sets = texts.select("text", "cid", "shard", "blocks", "own", "__n", "__f1", "__f2").mapInArrow(sets, "cid bigint, shard bigint, blocks int, own int, data binary")
+    with_sets = texts.select("text", "cid", "shard", "blocks", "own", "__n", "__f1", "__f2").mapInArrow(trimmed(sets), "cid bigint, shard bigint, blocks int, own int, data binary")
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own"))))
     pairs = with_sets.withColumn("other", other).select("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "data")
     pairs = pairs.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j", "cid")
@@ -303,7 +303,7 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, bloc
         if len(held) > 1:
             yield out()
 
-    found = pairs.mapInArrow(links, "u bigint, v bigint")
+    found = pairs.mapInArrow(trimmed(links), "u bigint, v bigint")
     group = components(found).select(F.col("node").alias("cid"), "component")
     of = classes.select("cid", "rep", *same).join(group, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     lowest = of.groupBy("component").agg(F.min("rep").alias("component_id"))

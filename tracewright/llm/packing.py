@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from .hashing import trimmed
 from .shared import table
 
 TIERS, END_ID, FLUSH_TOKENS, STEP_TOKENS = (256, 512, 1024, 2048), 1, 2_000_000, 65_536
@@ -201,7 +202,7 @@ def pack_documents(docs: DataFrame, tiers: tuple[int, ...] = TIERS, path: str |
         if waiting:
             yield flush(waiting)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), SCHEMA)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

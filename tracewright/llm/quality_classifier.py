@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .hashing import KIND, PLACE, mix, parts, runs, text_bytes
+from .hashing import KIND, PLACE, mix, parts, runs, text_bytes, trimmed
 from .shared import table
 
 BITS, DIM, HIDDEN, FIT_ROWS, THRESHOLD, WINDOW = 14, 64, 24, 8000, 0.7, 2
@@ -217,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
             return pa.table({"slice": t.column("slice")[:1].cast(pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
         context = np.zeros((SLICES, BUCKETS // SLICES * DIM), np.int64)
-        for r in docs.select("text").mapInArrow(sums, "slice int, sums binary").groupBy("slice").applyInArrow(add_up, "slice int, sums binary").toLocalIterator():
+        for r in docs.select("text").mapInArrow(trimmed(sums), "slice int, sums binary").groupBy("slice").applyInArrow(add_up, "slice int, sums binary").toLocalIterator():
             context[r["slice"]] += np.frombuffer(r["sums"], np.int64)
         context = context.reshape(BUCKETS, DIM).astype(np.float32)
         vectors = context / (np.linalg.norm(context, axis=1, keepdims=True) + 1e-6) + index_vectors() / np.sqrt(6).astype(np.float32)
@@ -228,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
                 x, n = pool(b.column(1), own.value)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(list(x), pa.list_(pa.float64())), pa.array(n > 0)], ["doc_id", "quality", "x", "some"])
 
-        rows = sample.select("doc_id", "text", "quality").mapInArrow(pooled, "doc_id bigint, quality int, x array<double>, some boolean").where("some").toPandas()
+        rows = sample.select("doc_id", "text", "quality").mapInArrow(trimmed(pooled), "doc_id bigint, quality int, x array<double>, some boolean").where("some").toPandas()
     finally:
         sample.unpersist()
     blank = [np.zeros(DIM), np.ones(DIM), np.zeros((DIM, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0, 1.0]
@@ -251,7 +251,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    return docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(trimmed(run), "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -262,7 +262,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
         for b in batches:
             yield b.filter(pa.array(own.value.score(b.column(at)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
