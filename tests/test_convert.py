@@ -44,8 +44,12 @@ def test_cigars_and_contigs(spark, tmp_path):
 
 def test_choice(spark):
     df = spark.createDataFrame([(0, [(7, 7, None)] * 50), (1, [(1 << 40, 3, None)] * 2), (2, None), (3, [])], "record_id bigint, trace array<struct<a:bigint,b:bigint,op:string>>")
-    ask = Strategy("benchmark", "nocomp", 3, 1)
-    names = selection.chosen(df, ask, ask, "standard", layers=("nocomp",))
+    ask = Strategy("benchmark", "nocomp", 3, 1, True)
+    names = selection.chosen(df, ask, ask, "standard")
+    assert [x.layer for x in names] == ["nocomp", "nocomp"]
+    pressed = selection.chosen(df, Strategy("benchmark", "bgzip", 3, 1, True), ask, "standard")
+    assert [x.layer for x in pressed] == ["bgzip", "bgzip"]
+    assert [x.layer for x in selection.chosen(df, Strategy("benchmark", sample=1), ask, "standard", all_records=True)] == ["zstd", "zstd"]
     totals = {r.strategy: r.total for r in selection.measured(df.where("record_id = 0").selectExpr("trace.a AS a"), "a", ("nocomp",)).collect()}
     assert totals[names[0].name] == min(v for v in totals.values() if v is not None)
     assert selection.chosen(df, Strategy("automatic"), ask, "mixed") == selection.automatic("mixed")

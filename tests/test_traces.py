@@ -66,7 +66,11 @@ def test_strategies():
     assert selection.parse_strategy("rice-zstd,7") == selection.Strategy("rice", "zstd", 7)
     assert selection.parse_strategy("ef") == selection.Strategy("elias-fano", "nocomp", 0)
     assert selection.parse_strategy("raw-zstd").level == 3
-    for bad in ("nope", "raw-bgzip,12", "raw,1,2,3"):
+    assert selection.parse_strategy("raw-bgzip,12").level == 12
+    assert selection.parse_strategy("benchmark") == selection.Strategy("benchmark", "nocomp", 0, selection.SAMPLE)
+    assert selection.parse_strategy("benchmark-nocomp,0,0") == selection.Strategy("benchmark", "nocomp", 0, 0, True)
+    assert [s.level for s in selection.automatic("mixed", level=7)] == [7, 7]
+    for bad in ("nope", "raw-bgzip,23", "raw,-1", "benchmark,3,-5", "raw,x", "raw,1,2,3", ""):
         with pytest.raises(ValueError):
             selection.parse_strategy(bad)
     assert [s.name for s in selection.automatic("standard")] == ["rice", "2d-delta"]

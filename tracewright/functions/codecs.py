@@ -538,7 +538,7 @@ def layer(name: str, level: int = 3) -> tuple[Callable[[bytes], bytes], Callable
     if name == "zstd":
         return zstandard.ZstdCompressor(level=level).compress, lambda b: zstandard.ZstdDecompressor().decompressobj().decompress(b)
     if name == "bgzip":
-        return partial(bgzf, level=level), unbgzf
+        return partial(bgzf, level=min(level, 9)), unbgzf
     if name == "nocomp":
         return bytes, bytes
     raise ValueError(f"unknown layer: {name}")

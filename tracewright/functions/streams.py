@@ -95,14 +95,15 @@ def rle_size(a: Column) -> Column:
     return total(F.transform(run_lengths(a), lambda r: varint_size(r["value"]) + varint_size(r["n"])))
 
 
-def selective_rle_size(a: Column, least: int = 8, most: int = 65535) -> Column:
-    def of(r: Column) -> Column:
-        whole, rest = F.floor(r["n"] / most).cast("bigint"), r["n"] % most
-        v = varint_size(r["value"])
-        tail = F.when(rest >= least, 1 + v + varint_size(rest)).otherwise(rest * (1 + v))
-        return whole * (1 + v + varint_size(F.lit(most))) + tail
+def selective_run_size(r: Column, least: int = 8, most: int = 65535) -> Column:
+    whole, rest = F.floor(r["n"] / most).cast("bigint"), r["n"] % most
+    v = varint_size(r["value"])
+    tail = F.when(rest >= least, 1 + v + varint_size(rest)).otherwise(rest * (1 + v))
+    return whole * (1 + v + varint_size(F.lit(most))) + tail
 
-    return total(F.transform(run_lengths(a), of))
+
+def selective_rle_size(a: Column) -> Column:
+    return total(F.transform(run_lengths(a), lambda r: selective_run_size(r)))
 
 
 def hybrid_rle_size(a: Column, b: Column) -> Column:
@@ -136,14 +137,15 @@ def cascaded_mode(a: Column) -> Column:
     return F.when(F.size(F.array_distinct(a)) / F.size(a) < 0.01, 1).otherwise(2)
 
 
-def rice_parameter(a: Column, most: int = 16) -> Column:
-    """Struct (cost in bits, k): the smallest cost, then the smallest k."""
+def rice_costs(z: Column, most: int = 16) -> Column:
+    """Struct (cost in bits, k) for zigzag numbers: the smallest cost, then the smallest k."""
+    costs = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: F.struct(F.aggregate(z, F.lit(0).cast("bigint"), lambda s, x: s + F.call_function("shiftright", x, k) + 1 + k).alias("cost"), k.alias("k")))
+    return F.array_min(costs)
 
-    def of(z: Column) -> Column:
-        costs = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: F.struct(F.aggregate(z, F.lit(0).cast("bigint"), lambda s, x: s + F.call_function("shiftright", x, k) + 1 + k).alias("cost"), k.alias("k")))
-        return F.array_min(costs)
 
-    return let(F.transform(deltas(a), zigzag), of)
+def rice_parameter(a: Column, most: int = 16) -> Column:
+    """`rice_costs` of a stream."""
+    return let(F.transform(deltas(a), zigzag), lambda z: rice_costs(z, most))
 
 
 def rice_size(a: Column) -> Column:
@@ -165,3 +167,27 @@ SIZES = {
     "frame-of-reference": frame_of_reference_size, "xor-delta": xor_delta_size, "dictionary": dictionary_size, "stream-vbyte": stream_vbyte_size,
     "selective-rle": selective_rle_size, "rice": rice_size, "elias-fano": elias_fano_size,
 }
+
+
+def all_sizes(array: Column) -> Column:
+    """STRUCT of all of `SIZES`, the stream, its differences, runs and distinct values computed once."""
+
+    def of(a: Column) -> Column:
+        def with_deltas(d: Column) -> Column:
+            def with_zigzags(z: Column) -> Column:
+                def with_runs(r: Column) -> Column:
+                    sizes = {k: f(a) for k, f in SIZES.items() if k not in ("zigzag-delta", "delta-of-delta", "rle", "selective-rle", "rice")}
+                    sizes["zigzag-delta"] = varints(z)
+                    sizes["delta-of-delta"] = varints(F.transform(d, lambda x, k: zigzag(x - before(d, k))))
+                    sizes["rle"] = total(F.transform(r, lambda x: varint_size(x["value"]) + varint_size(x["n"])))
+                    sizes["selective-rle"] = total(F.transform(r, lambda x: selective_run_size(x)))
+                    sizes["rice"] = F.when(F.size(a) == 0, 0).otherwise(1 + ceil_div(rice_costs(z)["cost"], 8)).cast("bigint")
+                    return F.struct(*[sizes[k].alias(k) for k in SIZES])
+
+                return let(run_lengths(a), with_runs)
+
+            return let(F.transform(d, zigzag), with_zigzags)
+
+        return let(F.transform(a, lambda x, k: x - before(a, k)), with_deltas)
+
+    return let(array, of)

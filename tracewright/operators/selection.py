@@ -8,15 +8,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codecs
-from ..functions.streams import SIZES, varint_size
+from ..functions.streams import SIZES, all_sizes, varint_size
 
 #: Fixed values of the format: names by code, layers by code.
 STRATEGIES = ("raw", "zigzag-delta", "2d-delta", "rle", "bit-packed", "delta-of-delta", "frame-of-reference", "hybrid-rle", "xor-delta", "dictionary", "stream-vbyte", "fastpfor", "cascaded", "simple8b-full", "selective-rle", "rice", "huffman", "lz77", "elias-fano")
 LAYERS = ("zstd", "bgzip", "nocomp")
+MOST_LEVEL = 22
+#: What wins of equal totals, the simpler decoder and the cheaper layer.
+STRATEGY_RANK = ("raw", "zigzag-delta", "2d-delta", "rle", "bit-packed", "frame-of-reference", "hybrid-rle", "xor-delta", "delta-of-delta", "simple8b-full", "stream-vbyte", "dictionary", "rice", "huffman", "fastpfor", "cascaded", "selective-rle", "lz77", "elias-fano")
+LAYER_RANK = ("nocomp", "zstd", "bgzip")
+#: Records that a benchmark measures unless told otherwise.
+SAMPLE = 10_000
 ALIASES = {"for": "frame-of-reference", "dict": "dictionary", "streamvbyte": "stream-vbyte", "fast-pfor": "fastpfor", "simple8bfull": "simple8b-full", "selectiverle": "selective-rle", "ef": "elias-fano"}
 #: (first, second) for a trace variant and complexity metric; None: any metric.
 AUTOMATIC = {
@@ -31,10 +37,13 @@ AUTOMATIC = {
 
 @dataclass(frozen=True)
 class Strategy:
+    """sample: records that a benchmark measures (0: all). forced: the layer was named, so a benchmark measures no other."""
+
     name: str
     layer: str = "nocomp"
     level: int = 0
     sample: int | None = None
+    forced: bool = False
 
     @property
     def code(self) -> int:
@@ -42,28 +51,32 @@ class Strategy:
 
 
 def parse_strategy(text: str) -> Strategy:
-    """`name[-layer][,level[,sample]]`; without a layer nothing is compressed; level 3 unless given, 0 without compression."""
+    """`name[-layer][,level]`, and `benchmark[-layer][,level[,sample]]`; without a layer nothing is compressed; level 3 unless given, 0 without
+    compression."""
     head, *rest = [p.strip() for p in text.strip().lower().split(",")]
     m = re.fullmatch(rf"(.+?)(?:-({'|'.join(LAYERS)}))?", head)
-    name, layer = ALIASES.get(m[1], m[1]), m[2] or "nocomp"
-    if name not in (*STRATEGIES, "automatic", "benchmark"):
+    name, layer = (ALIASES.get(m[1], m[1]), m[2] or "nocomp") if m else (head, "nocomp")
+    if name not in (*STRATEGIES, "automatic", "benchmark") or len(rest) > 2:
         raise ValueError(f"unknown strategy: {text}")
+    if any(not re.fullmatch(r"\+?[0-9]+", r) for r in rest) or int(rest[0] if rest else 0) > MOST_LEVEL:
+        raise ValueError(f"bad level or sample in {text}: levels are 0 to {MOST_LEVEL}")
     level = int(rest[0]) if rest else (0 if layer == "nocomp" else 3)
-    most = 9 if layer == "bgzip" else 22
-    if not 0 <= level <= most or len(rest) > 2:
-        raise ValueError(f"bad level in {text}: 0 to {most}")
-    return Strategy(name, layer, level, int(rest[1]) if len(rest) > 1 else None)
+    if name != "benchmark":
+        return Strategy(name, layer, level)
+    return Strategy(name, layer, level, int(rest[1]) if len(rest) > 1 else SAMPLE, m[2] is not None)
 
 
-def automatic(variant: str, metric: str = "edit-distance") -> tuple[Strategy, Strategy]:
+def automatic(variant: str, metric: str = "edit-distance", level: int = 0) -> tuple[Strategy, Strategy]:
     first, second = AUTOMATIC.get((variant, None)) or AUTOMATIC[variant, metric]
-    return Strategy(first), Strategy(second)
+    return Strategy(first, level=level), Strategy(second, level=level)
 
 
 def totals(records: DataFrame, stream: str) -> DataFrame:
-    """`(strategy, total)`: encoded bytes with their length prefix over all records, for each encoding with a size expression. One pass, one row per encoding and task shuffled."""
-    sizes = F.array(*[F.struct(F.lit(k).alias("strategy"), f(F.col(stream)).alias("size")) for k, f in SIZES.items()])
-    return records.select(F.inline(sizes)).groupBy("strategy").agg(F.sum(F.col("size") + varint_size(F.col("size"))).cast("bigint").alias("total"))
+    """`(strategy, total)`: encoded bytes with their length prefix over all records, for each encoding with a size expression. One aggregate: a task shuffles one
+    row, whatever the number of encodings."""
+    sized = records.select(all_sizes(F.col(stream)).alias("z"))
+    sums = sized.agg(*[F.sum(F.col(f"z.`{k}`") + varint_size(F.col(f"z.`{k}`"))).cast("bigint").alias(k) for k in SIZES])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(k).alias("strategy"), F.col(f"`{k}`").alias("total")) for k in SIZES])))
 
 
 def measured(records: DataFrame, stream: str, layers: tuple[str, ...] = LAYERS, level: int = 3, first: str | None = None) -> DataFrame:
@@ -87,34 +100,42 @@ def measured(records: DataFrame, stream: str, layers: tuple[str, ...] = LAYERS,
     return parts.groupBy("strategy", "layer").agg(F.when(F.sum("failed") == 0, F.sum("total")).alias("total"))
 
 
-def best(total_rows: DataFrame) -> DataFrame:
-    """The strategy of the least total; ties by code."""
-    rank = F.array_position(F.array(*[F.lit(s) for s in STRATEGIES]), F.col("strategy"))
-    return total_rows.agg(F.min_by(F.struct("strategy", "total"), F.struct("total", rank)).alias("m")).select("m.*")
+def _rank(column: str, names: tuple[str, ...]) -> Column:
+    return F.array_position(F.array(*[F.lit(s) for s in names]), F.col(column))
+
+
+def best(total_rows: DataFrame, *by: str) -> DataFrame:
+    """The encoding of the least total for each group of the columns `by`: `(*by, strategy, [layer,] total)`. Of equal totals the layer of the
+    lower rank wins, then the strategy."""
+    layered = "layer" in total_rows.columns
+    kept = ["strategy", *(["layer"] if layered else []), "total"]
+    order = F.struct("total", *([_rank("layer", LAYER_RANK).alias("l")] if layered else []), _rank("strategy", STRATEGY_RANK).alias("s"))
+    return total_rows.where("total IS NOT NULL").groupBy(*by).agg(F.min_by(F.struct(*kept), order).alias("m")).where("m IS NOT NULL").select(*by, "m.*")
 
 
 def best_measured(measured_rows: DataFrame, level: int = 3) -> Strategy:
-    """The pair of the least total; ties by layer, then by code. ValueError if nothing fits."""
-    rank = lambda c, names: F.array_position(F.array(*[F.lit(s) for s in names]), F.col(c))
-    m = measured_rows.where("total IS NOT NULL").agg(F.min_by(F.struct("strategy", "layer"), F.struct("total", rank("layer", LAYERS), rank("strategy", STRATEGIES))).alias("m")).first()["m"]
+    """The pair that `best` picks. ValueError if nothing fits."""
+    m = best(measured_rows).first()
     if m is None:
         raise ValueError("no encoding fits")
     return Strategy(m["strategy"], m["layer"], 0 if m["layer"] == "nocomp" else level)
 
 
-def chosen(records: DataFrame, first: Strategy, second: Strategy, variant: str, metric: str = "edit-distance", layers: tuple[str, ...] = LAYERS) -> tuple[Strategy, Strategy]:
+def chosen(records: DataFrame, first: Strategy, second: Strategy, variant: str, metric: str = "edit-distance", all_records: bool = False) -> tuple[Strategy, Strategy]:
     """Strategies to write with. Where either is `automatic`, both follow the rule for variant and metric; otherwise, where either is
-    `benchmark`, both are measured on the traces of the first `sample` records (none or 0: all), and each stream takes its best. The
-    values measured are those written: pairs as pairs, operations with the first values, missing second values left out."""
+    `benchmark`, both are measured on the traces of the first `sample` records (0: all), and each stream takes its best. The
+    values measured are those written: pairs as pairs, operations with the first values, missing second values left out. All layers are
+    measured unless one is forced, or all records are compressed in one section: then zstd stands for it."""
     names = {first.name, second.name}
     if "automatic" in names:
-        return automatic(variant, metric)
+        return automatic(variant, metric, next(x.level for x in (first, second) if x.name == "automatic"))
     if "benchmark" not in names:
         return first, second
     asked = first if first.name == "benchmark" else second
     if asked.sample:
         records = records.orderBy("record_id").limit(asked.sample)
     level = asked.level or 3
+    layers = (asked.layer,) if asked.forced else ("zstd",) if all_records else LAYERS
     pick = lambda c, keep: F.transform(F.filter("trace", keep), lambda x: x[c]).alias(c)
     paired = variant in ("standard", "fastga")
     streams = records.where("size(trace) > 0").select(pick("a", lambda x: F.lit(True)), pick("b", lambda x: F.lit(True) if paired else x["b"].isNotNull()))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.alignment import cigar_to_trace
 from ..operators.contigs import split_by_contigs
 from ..operators.dictionary import exclusive_prefix
-from ..operators.selection import LAYERS, chosen
+from ..operators.selection import chosen
 from ..sources import container, paf
 
 
@@ -40,8 +40,7 @@ def paf_to_container(spark: SparkSession, source: str, path: str, header: contai
     """Writes `path` and its index; counts, `rejected` being records that can't be written and `lines_rejected` lines that aren't
     records. The strategies of the header may be `automatic` or `benchmark`. With all records in one compressed section, streams aren't compressed by themselves."""
     records, rejects = records_of(spark, source, header, contigs)
-    layers = ("nocomp",) if header.all_records else LAYERS
-    first, second = chosen(records, header.first, header.second, header.variant, header.metric, layers)
+    first, second = chosen(records, header.first, header.second, header.variant, header.metric, header.all_records)
     out = container.write(records, path, replace(header, first=first, second=second))
     return {**out, "lines_rejected": rejects.count()}
 
