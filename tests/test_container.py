@@ -33,11 +33,12 @@ def plain(rows_):
 ])
 def test_roundtrip(spark, tmp_path, variant, first, second, layers, whole, monkeypatch):
     monkeypatch.setattr(container, "SLICE", 64)
+    monkeypatch.setattr(container, "PIECE", 1500)
     path, given = str(tmp_path / "x.bin"), rows(variant, bad=True)
     h = container.Header(Strategy(first, layers[0], 3), Strategy(second, layers[1], 3), variant, distance=("gap-affine", 5, 8, 2), all_records=whole)
     counts = container.write(spark.createDataFrame(given, SCHEMA).repartition(3), path, h)
     assert counts == {"records": 299, "rejected": 1, "strings": 22}
-    assert container.is_container(path)
+    assert container.is_container(path) and not container.is_container('-')
     got, _ = container.read_header(path)
     assert (got.num_records, got.first.name, got.second.layer, got.variant, got.distance, got.all_records) == (299, first, layers[1], variant, ("gap-affine", 5, 8, 2), whole)
     cols = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -54,6 +55,21 @@ def test_roundtrip(spark, tmp_path, variant, first, second, layers, whole, monke
         position = int(container.read_index(path + ".idx")[0][k])
         assert plain([container.record_at(path, position)["trace"] and [tuple(x.values()) for x in container.record_at(path, position)["trace"]]]) == plain([want[k][13]])
         assert [tuple(x.values()) for x in container.trace_at(path, container.trace_position(path, position), variant)] == want[k][13]
+    whole_read = container.resolve(container.read_in_order(spark, path), container.read_strings(spark, path)).select(*cols).orderBy("record_id").collect()
+    assert whole_read == back
+    places = {r.record_id: (r.position, r.trace_position) for r in container.index_rows(spark, path).collect()}
+    assert places[150] == (int(container.read_index(path + ".idx")[0][150]), container.position_of(path, 150))
+    trace, metric, most = container.trace_of(path, 150)
+    assert [tuple(x.values()) for x in trace] == want[150][13] and (metric, most) == (h.metric, h.max_complexity)
+    with pytest.raises(IndexError):
+        container.position_of(path, 299)
+    kept = (tmp_path / "x.bin.idx").read_bytes()
+    for damage in (None, kept[:-1], b"junk", container.index_bytes(np.arange(3), whole, 0)):
+        (tmp_path / "x.bin.idx").unlink()
+        if damage is not None:
+            (tmp_path / "x.bin.idx").write_bytes(damage)
+        assert container.read(spark, path, [5]).first()["record_id"] == 5
+        assert (tmp_path / "x.bin.idx").read_bytes() == kept
     with pytest.raises(ValueError, match="are not"):
         container.trace_at(path, 0, "nothing")
     sizes = {(r.section, r.part): r.bytes for r in container.size_report(spark, path).collect()}
@@ -62,6 +78,14 @@ def test_roundtrip(spark, tmp_path, variant, first, second, layers, whole, monke
         container.read(spark, path, [299])
 
 
+def test_unknown_names(spark):
+    strings = spark.createDataFrame([(0, "a", 5)], "id bigint, name string, length bigint")
+    ids = spark.createDataFrame([(0, 0), (0, 1)], "query_name_id bigint, target_name_id bigint")
+    assert container.resolve(ids.where("target_name_id = 0"), strings).first()["target_name"] == "a"
+    with pytest.raises(Exception, match="unknown target name id 1"):
+        container.resolve(ids, strings).collect()
+
+
 def test_damage(spark, tmp_path):
     path = str(tmp_path / "x.bin")
     container.write(spark.createDataFrame(rows("standard", 5), SCHEMA), path)

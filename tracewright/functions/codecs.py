@@ -519,11 +519,20 @@ def bgzf(data: bytes, level: int = 6) -> bytes:
     return b"".join([*out, BGZF_END])
 
 
+def is_block(data: bytes, at: int = 0) -> bool:
+    return data[at : at + 4] == BGZF_HEAD[:4] and at + 18 <= len(data)
+
+
+def block_size(data: bytes, at: int = 0) -> int:
+    """Bytes of the block that begins there."""
+    return struct.unpack("<H", data[at + 16 : at + 18])[0] + 1
+
+
 def unbgzf(data: bytes, partial: bool = False) -> bytes:
     """The contents of the blocks; partial: up to the first bytes that are no whole block."""
     out, at = [], 0
     while at < len(data):
-        size = struct.unpack("<H", data[at + 16 : at + 18])[0] + 1 if data[at : at + 4] == BGZF_HEAD[:4] and at + 18 <= len(data) else 0
+        size = block_size(data, at) if is_block(data, at) else 0
         if not size or at + size > len(data):
             if partial:
                 break

@@ -15,8 +15,8 @@ def number(text: Column, kind: str = "bigint") -> Column:
     return F.when(text.rlike(NUMBER), text.try_cast(kind))
 
 
-def parse_trace(text: Column, variant: str) -> Column:
-    """ARRAY<STRUCT<a, b, op>> of `a,b;a,b` (standard, fastga), `v;v` (single), either (variable), or with items like `10I` (mixed); null if any item is malformed."""
+def parse_trace(text: Column, variant: str, lax: bool = False) -> Column:
+    """lax: empty items are dropped. ARRAY<STRUCT<a, b, op>> of `a,b;a,b` (standard, fastga), `v;v` (single), either (variable), or with items like `10I` (mixed); null if any item is malformed."""
 
     def item(x: Column) -> Column:
         part = F.split(x, ",", -1)
@@ -40,7 +40,8 @@ def parse_trace(text: Column, variant: str) -> Column:
             raise ValueError(f"unknown trace variant: {variant}")
         return F.when(ok, F.struct(a.alias("a"), b.alias("b"), op.alias("op")))
 
-    items = F.transform(F.split(text, ";", -1), item)
+    parts = F.split(text, ";", -1)
+    items = F.transform(F.filter(parts, lambda x: x != "") if lax else parts, item)
     return let(items, lambda t: F.when(~F.exists(t, lambda x: x.isNull()), t))
 
 

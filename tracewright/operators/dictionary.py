@@ -35,9 +35,17 @@ def string_table(names: DataFrame, width: int = 1 << 16) -> DataFrame:
     return exclusive_prefix(first, "pos", F.lit(1).cast("bigint"), "id", width).select("id", "name", "length")
 
 
+def ids_of(wanted: DataFrame, strings: DataFrame) -> DataFrame:
+    """`wanted(name)` with `id` and `length`; null for names that aren't in the table."""
+    return wanted.join(strings.select("name", "id", "length"), "name", "left")
+
+
 def resolve(records: DataFrame, strings: DataFrame) -> DataFrame:
-    """Names and lengths for query_name_id and target_name_id; adaptive execution broadcasts a small table."""
+    """Names and lengths for query_name_id and target_name_id; adaptive execution broadcasts a small table. An id that isn't in the table is an
+    error when the row is read."""
     for role in ("query", "target"):
-        side = strings.select(F.col("id").alias(f"{role}_name_id"), F.col("name").alias(f"{role}_name"), F.col("length").alias(f"{role}_len"))
-        records = records.join(side, f"{role}_name_id")
+        key = f"{role}_name_id"
+        side = strings.select(F.col("id").alias(key), F.col("name").alias(f"{role}_name"), F.col("length").alias(f"{role}_len"))
+        missing = F.raise_error(F.concat(F.lit(f"unknown {role} name id "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+        records = records.join(side, key, "left").withColumn(f"{role}_name", F.coalesce(f"{role}_name", missing.cast("string")))
     return records

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CHOICE = ("strategy_first", "strategy_second", "compression_layer_first", "compression_layer_second")
@@ -56,6 +57,30 @@ def summary(results: DataFrame) -> DataFrame:
     )
 
 
+def safe_ratio(numerator: Column, denominator: Column, decimals: int = 3) -> Column:
+    """The quotient, rounded; 0 for a denominator of 0 or a missing number."""
+    return F.round(F.coalesce(F.try_divide(numerator.cast("double"), denominator.cast("double")), F.lit(0.0)), decimals)
+
+
+def seconds(text: Column) -> Column:
+    """Seconds of `minutes:seconds.part` or of a plain number; null for `NA`, 0 for anything else."""
+    minutes = r"^([0-9]+):([0-9]+\.[0-9]+)$"
+    long = F.regexp_extract(text, minutes, 1).try_cast("double") * 60 + F.regexp_extract(text, minutes, 2).try_cast("double")
+    plain = F.when(text.rlike(r"^[0-9]+(\.[0-9]+)?$"), text.try_cast("double"))
+    return F.when(text == "NA", None).otherwise(F.round(F.coalesce(F.when(text.rlike(minutes), long), plain, F.lit(0.0)), 3))
+
+
+def megabytes(kilobytes: Column) -> Column:
+    """Of a text with kilobytes; null for `NA`, 0 for what is no number."""
+    return F.when(kilobytes == "NA", None).otherwise(F.round(F.coalesce(kilobytes.try_cast("double"), F.lit(0.0)) / 1024, 2))
+
+
+def ranked(results: DataFrame, metric: str = "ratio_orig_to_tpa") -> DataFrame:
+    """The results of each data set from the highest metric down, with their `place`; ties by the names of the encoding, missing metrics last."""
+    order = W.partitionBy("dataset_name").orderBy(F.col(metric).desc_nulls_last(), *CHOICE, "compression_strategy")
+    return results.withColumn("place", F.row_number().over(order))
+
+
 def seek_summary(seeks: DataFrame) -> DataFrame:
     """`(decoded boolean, valid boolean, us double)` per seek as mean time and ratios, 0 without seeks."""
     share = lambda c: F.coalesce(F.avg(F.coalesce(F.col(c), F.lit(False)).cast("int")), F.lit(0.0))

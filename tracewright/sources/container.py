@@ -191,6 +191,8 @@ def at(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def is_container(path: str) -> bool:
+    if path == "-":
+        return False
     store, name = at(path)
     with store.open_input_file(name) as f:
         return f.read(4) == MAGIC
@@ -336,13 +338,11 @@ def read_strings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, ids: list[int] | None = None, metadata_only: bool = False) -> DataFrame:
-    """Records with name ids; with `ids` only those, each found by its position. Metadata only: the trace is skipped and null.
+    """Records with name ids, found by their positions (see `open_index`); with `ids` only those. Metadata only: the trace is skipped and null.
     IndexError if an id is out of range."""
     h, _ = read_header(path)
     store, name = at(path)
-    positions, virtual, _ = read_index(path + ".idx")
-    if len(positions) != h.num_records or virtual != h.all_records:
-        raise ValueError("the index belongs to another file")
+    positions, virtual = open_index(path), h.all_records
     if ids is not None and any(not 0 <= k < len(positions) for k in ids):
         raise IndexError("no such record")
     end = store.get_file_info(name).size
@@ -459,33 +459,130 @@ def size_report(spark: SparkSession, path: str) -> DataFrame:
     return flat.select("section", "part", "bytes", F.try_divide("bytes", F.lit(size)).alias("share"), F.try_divide("bytes", "count").alias("average"))
 
 
-def build_index(path: str) -> np.ndarray:
-    """Positions of a container without an index, by skipping from record to record (all records in one section: virtual ones)."""
+class Flow:
+    """The bytes of a file from a place on, read from front to back, a part at a time; of a BGZF section (`virtual`) their text."""
+
+    def __init__(self, f: pa.NativeFile, start: int, virtual: bool):
+        f.seek(start)
+        self.f, self.virtual, self.raw, self.reader = f, virtual, b"", C.Reader(b"")
+        self.before, self.blocks, self.next = 0 if virtual else start, [], start
+
+    def more(self) -> bool:
+        """Reads on; the text before the reader's place is dropped."""
+        data = self.f.read(PIECE)
+        if self.virtual:
+            self.raw += data
+            texts, k, end = [], 0, self.before + len(self.reader.data)
+            while C.is_block(self.raw, k) and k + (size := C.block_size(self.raw, k)) <= len(self.raw):
+                self.blocks.append((end, self.next + k))
+                texts.append(C.unbgzf(self.raw[k : k + size]))
+                k, end = k + size, end + len(texts[-1])
+            self.raw, self.next, text = self.raw[k:], self.next + k, b"".join(texts)
+        else:
+            text = data
+        self.before += self.reader.at
+        self.reader = C.Reader(self.reader.data[self.reader.at :] + text)
+        while len(self.blocks) > 1 and self.blocks[1][0] <= self.before:
+            self.blocks.pop(0)
+        return bool(data)
+
+    def take(self, what):
+        """`what(reader)`, with as much of the file as it takes."""
+        while True:
+            at = self.reader.at
+            try:
+                return what(self.reader)
+            except ValueError:
+                self.reader.at = at
+                if not self.more():
+                    raise
+
+    def position(self) -> int:
+        """Of the reader's place: in the file, or virtual."""
+        if self.reader.done():
+            self.more()
+        place = self.before + self.reader.at
+        if not self.virtual:
+            return place
+        n, start = next(b for b in reversed(self.blocks) if b[0] <= place)
+        return start << 16 | place - n
+
+
+def flow(path: str, metadata_only: bool = False) -> Iterator[tuple[int, dict]]:
+    """(position, record) of all records in order, without an index; memory is that of a part of the file."""
     h, start = read_header(path)
     store, name = at(path)
     with store.open_input_file(name) as f:
-        data = f.read()
-    r = C.Reader(data)
-    r.at = start
-    for _ in range(h.num_strings):
-        r.bytes(r.varint())
-        r.varint()
-    if not h.all_records:
-        out = []
+        names_ = Flow(f, start, False)
+        for _ in range(h.num_strings):
+            names_.take(lambda r: (r.bytes(r.varint()), r.varint()))
+        records = Flow(f, names_.position(), True) if h.all_records else names_
         for _ in range(h.num_records):
-            out.append(r.at)
-            read_record(r, h, True)
-        return np.array(out, np.int64)
-    starts, sizes, blocks, k = [], [], [], r.at
-    while data[k : k + 4] == C.BGZF_HEAD[:4] and k + 18 <= len(data):
-        n = struct.unpack("<H", data[k + 16 : k + 18])[0] + 1
-        blocks.append(C.unbgzf(data[k : k + n]))
-        starts.append(k)
-        sizes.append(len(blocks[-1]))
-        k += n
-    r, ends, out = C.Reader(b"".join(blocks)), np.cumsum(sizes), []
-    for _ in range(h.num_records):
-        b = int(np.searchsorted(ends, r.at, "right"))
-        out.append(starts[b] << 16 | r.at - int(ends[b] - sizes[b]))
-        read_record(r, h, True)
-    return np.array(out, np.int64)
+            yield records.position(), records.take(lambda r: read_record(r, h, metadata_only))
+
+
+def read_in_order(spark: SparkSession, path: str, metadata_only: bool = False) -> DataFrame:
+    """`read` without an index: one task, from front to back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for k, (_, record) in enumerate(flow(path, metadata_only) if len(b) else ()):
+                out.append({"record_id": k, **record})
+                if len(out) == 4096:
+                    yield pa.RecordBatch.from_pylist(out, ARROW)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_pylist(out, ARROW)
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, SCHEMA)
+
+
+def build_index(path: str) -> np.ndarray:
+    """Positions of a container without an index; eight bytes a record."""
+    return np.fromiter((position for position, _ in flow(path, True)), np.int64)
+
+
+def open_index(path: str) -> np.ndarray:
+    """Positions of the records. An index that is missing, unreadable or of another number of records is built anew and saved."""
+    h, _ = read_header(path)
+    try:
+        positions, virtual, _ = read_index(path + ".idx")
+        if len(positions) == h.num_records and virtual == h.all_records:
+            return positions
+    except (FileNotFoundError, ValueError):
+        pass
+    positions = build_index(path)
+    store, name = at(path)
+    with store.open_output_stream(name + ".idx") as f:
+        f.write(index_bytes(positions, h.all_records, int(positions[0]) >> 16 if h.all_records else 0))
+    return positions
+
+
+def index_rows(spark: SparkSession, path: str) -> DataFrame:
+    """`(record_id, position, trace_position)`: positions as the index has them, and where the record's trace begins."""
+    h, _ = read_header(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(r["record_id"], r["position"], trace_position(path, r["position"])) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 3, ["record_id", "position", "trace_position"])
+
+    positions = open_index(path)
+    parts = max(1, -(-len(positions) // SLICE))
+    found = spark.createDataFrame(pa.table({"record_id": pa.array(np.arange(len(positions))), "position": pa.array(positions)}))
+    return found.repartition(parts).mapInArrow(run, "record_id bigint, position bigint, trace_position bigint")
+
+
+def trace_of(path: str, record_id: int, variant: str | None = None) -> tuple[list[dict], str, int]:
+    """A record's trace, the metric and the greatest complexity of its container. IndexError for an id out of range."""
+    h, _ = read_header(path)
+    return trace_at(path, position_of(path, record_id), variant), h.metric, h.max_complexity
+
+
+def position_of(path: str, record_id: int) -> int:
+    """Where the trace of a record begins."""
+    positions = open_index(path)
+    if not 0 <= record_id < len(positions):
+        raise IndexError("no such record")
+    return trace_position(path, int(positions[record_id]))

@@ -25,6 +25,18 @@ def kept_lines(raw: DataFrame) -> DataFrame:
     line = F.trim("value")
     return raw.withColumn("value", F.rtrim(F.col("value"), F.lit("\r"))).where(F.is_valid_utf8("value") & (line != "") & ~line.startswith("#"))
 
+def first_lines(lines: DataFrame, n: int) -> DataFrame:
+    """The first n lines in the order of the input. A top-k: each task sends n rows at most."""
+    return lines.orderBy("row").limit(n)
+
+
+def names_only(lines: DataFrame) -> DataFrame:
+    """Names and lengths of `lines` by the first seven fields; what follows isn't split. Lines whose fields don't fit are left out."""
+    f = F.split("value", "\t", 8)
+    cols = [(number(F.get(f, F.lit(k))) if name in LONGS else F.get(f, F.lit(k))).alias(name) for k, name in enumerate(FIELDS[:7]) if name in ("query_name", "query_len", "target_name", "target_len")]
+    return lines.select(F.col("row").alias("record_id"), *cols).dropna()
+
+
 def parse_tag(field: Column) -> Column:
     """STRUCT<key, type, i, f, s>, or null for a tag that isn't kept."""
     part = F.split(field, ":", 3)

@@ -24,8 +24,13 @@ RANGE, BATCH, MOST = 32 << 20, 8192, 1 << 16
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where none is set, as in tests, a temporary one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tracewright-")
+    """The folder that driver and executors share. Only a session that runs in one process may do without the setting."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if at:
+        return at
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+    return f"{tempfile.gettempdir()}/tracewright"
 
 
 def is_block(data: bytes, at: int = 0) -> bool:
