@@ -44,3 +44,26 @@ def test_words_of_wrappers_are_not_noise():
         assert any(n.endswith("article/p") for n in nodes)
     assert html_extraction.extract("<body><div class='widget-area'><p>most of the text of this page</div><div class='ad'>buy</div></body>") == "most of the text of this page"
     assert html_extraction.extract("<body><aside><article>x</article></aside><div class='share'>y</div>" + main + "</body>") == "Head\n\nthe main text of the page"
+
+
+def test_names_inside_articles():
+    page = "<body><article><h1>T</h1><div class='related-work'><p>Prior work.</p></div><section id='comments-on-method'><p>On it.</p></section><div class='related-posts'>x</div><ul class='comment-list'><li>nice</li></ul></article></body>"
+    assert html_extraction.extract(page) == "T\n\nPrior work.\n\nOn it."
+    assert html_extraction.extract("<body><p>Text <a href=x>link only</a></p><div><a>Home</a> | <a>About</a></div><p><a>Next page</a></p></body>") == "Text link only"
+
+
+def test_deep_and_long_pages(spark):
+    deep = "<div>" * 3000 + "<p>deep text {0}</p>" + "</div>" * 3000
+    long = "".join(f"<p>block {k} &amp; more</p>" for k in range(20_000))
+    pages = [f"<body><div class='x'><span>same</span></div>{deep.format(i)}</body>" for i in range(9)] + [f"<body><article>{long}</article></body>"] * 2
+    got = texts(spark, pages)
+    assert got[3] == "deep text 3" and got[9] == got[10] == "\n\n".join(f"block {k} & more" for k in range(20_000))
+    nodes = [n for n in html_extraction.style_nodes("<body>" + "<div>" * 300 + "<i>x</i></body>")]
+    assert len(set(nodes)) == 301 and max(map(len, nodes)) < 500
+
+
+def test_clashing_and_repeated(spark):
+    page = "<body><nav>n</nav><article><p>a  b</p></article></body>"
+    df = spark.createDataFrame([(1, "http://h.com/1", page, "t", 9, "h")] * 3 + [(None, None, page, None, None, None)], "page_id bigint, url string, html string, text string, n_chars int, __host string")
+    got = html_extraction.extract_pages(df).collect()
+    assert [tuple(r) for r in got].count((1, "http://h.com/1", "a b", 3)) == 3 and len(got) == 4

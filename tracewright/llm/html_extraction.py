@@ -13,6 +13,7 @@ prior: inside a marked element importance i counts as i + `PRIOR` (1 - i), so th
 blocks that are mostly links stay. Text outside a mark is judged as on a page without marks: it stays unless it's noise or mostly links.
 A word of id or class says nothing after `has-`, `no-`, `with-` or `without-`, and doesn't make noise of an element around an `article` or `main` that is at least
 half as long as the page's longest, or, on pages without these, around more than three quarters of the text: such wrappers are left to the tree.
+Inside a mark a name tells noise only if its other words name parts of any page (`comment-list`, not `related-work`). Paths of any depth are told apart.
 On hosts with fewer than `MIN_PAGES` distinct pages only the kind of the element and the links decide.
 
 Text: character references are decoded, a run of white space (and `<br>`) becomes one space, blocks are joined by an empty line.
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from .hashing import trimmed
 from .shared import lower_ascii, table
 
-MIN_PAGES, NOISE_BELOW, MAX_BROADCAST_NODES, MAX_DEPTH = 8, 0.25, 100_000, 12
+MIN_PAGES, NOISE_BELOW, MAX_BROADCAST_NODES, LONG_PATH = 8, 0.25, 100_000, 400
 PRIOR = 0.2
 #: Fixed values of HTML: elements without an end tag, of which only text up to the end tag follows, and that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,6 +56,7 @@ ENDS_P = BLOCK - {"body", "html", "head"}
 NOISE_TAGS = frozenset("nav footer aside form menu dialog search head".split())
 NOISE_ROLES = frozenset("navigation contentinfo complementary banner search form dialog alert alertdialog menu menubar toolbar".split())
 NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split())
+PART_WORDS = frozenset("area articles bar block body bottom box button buttons container content entry form group head header icons inner item items left link links list main module news outer panel pages post posts right section site slot stories text title top unit wrap wrapper".split())
 ARTICLE_WORDS = frozenset("article articlebody content entry maincontent post postbody story".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
@@ -68,11 +70,12 @@ _WORDS = re.compile(r"[a-z0-9]+")
 class Element:
     """noise, article: as far as the start tags tell; `settle` corrects them when the page has been read."""
 
-    __slots__ = ("tag", "node", "noise", "article", "label", "parent", "kind", "word", "header", "mark", "main", "dead", "size", "wraps")
+    __slots__ = ("tag", "node", "noise", "article", "label", "parent", "kind", "word", "header", "mark", "main", "dead", "size", "wraps", "links")
 
     def __init__(self, tag: str, node: str, label: str, parent: Element | None = None, kind: bool = False, word: bool = False, header: bool = False, mark: bool = False, main: bool = False):
         self.tag, self.node, self.label, self.parent = tag, node, label, parent
         self.kind, self.word, self.header, self.mark, self.main = kind, word, header, mark, main
+        self.links = (parent.links if parent is not None else 0) + (tag == "a")
         self.size, self.wraps, self.dead = 0, False, kind or (parent is not None and parent.dead)
         self.judge()
 
@@ -82,13 +85,25 @@ class Element:
         self.article = up is not None and ((self.mark and not self.noise) or up.article)
 
 
-def describe(tag: str, attrs: str, parent: Element, depth: int) -> Element:
+def below(parent: Element, label: str) -> str:
+    """The path of an element under `parent`; the part above of a long one is a hash, so that depth has no limit and paths don't grow with it."""
+    above = parent.node if len(parent.node) <= LONG_PATH else "#" + hashlib.blake2b(parent.node.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+    return f"{above}/{label}"
+
+
+def tells_noise(token: str, sure: bool) -> bool:
+    """Whether an id or class has a noise word; sure: and, beside such words, only words that name parts of any page."""
+    parts = _WORDS.findall(token)
+    return any(x in NOISE_WORDS for x in parts) and (not sure or all(x in NOISE_WORDS or x in PART_WORDS or x.isdigit() for x in parts))
+
+
+def describe(tag: str, attrs: str, parent: Element) -> Element:
     label, words, hits, roles, hidden = tag, set(), set(), set(), False
     if attrs.strip():
         found = {m[1].lower(): unescape((m[2] or "").strip("\"'")).lower() for m in _ATTR.finditer(attrs)}
         names = (found.get("id", "") + " " + found.get("class", "")).strip()
         words, roles = set(_WORDS.findall(names)), set(found.get("role", "").split())
-        hits = set(_WORDS.findall(_STATE.sub(" ", names)))
+        hits = {x for t in _STATE.sub(" ", names).split() if tells_noise(t, parent.article) or "header" in t for x in _WORDS.findall(t)}
         hidden = "hidden" in found or found.get("aria-hidden") == "true"
         if names:
             label = f"{tag}.{re.sub(r'[0-9]+', '0', '.'.join(sorted(names.split())))}"
@@ -97,7 +112,7 @@ def describe(tag: str, attrs: str, parent: Element, depth: int) -> Element:
     kind = hidden or tag in NOISE_TAGS or bool(roles & NOISE_ROLES)
     word = tag not in ("html", "body", "main") and bool(hits & NOISE_WORDS) and not (tag == "article" and not hits & {"comment", "comments", "ad", "advert", "related"})
     header = (tag == "header" or "header" in hits) and tag not in ("html", "body")
-    return Element(tag, f"{parent.node}/{label}" if depth <= MAX_DEPTH else parent.node, label, parent, kind, word, header, mark, main)
+    return Element(tag, below(parent, label), label, parent, kind, word, header, mark, main)
 
 
 def settle(elements: list[Element], texts: list[tuple[Element, int]]) -> None:
@@ -188,7 +203,7 @@ def blocks(html: str) -> Iterator[tuple[list[Element], str, int]]:
                 yield stack, had, n
             if k:
                 del stack[k:]
-                in_link = sum(e.tag == "a" for e in stack)
+                in_link = stack[-1].links
             continue
         if tag == "br":
             text.append(" ")
@@ -211,12 +226,12 @@ def blocks(html: str) -> Iterator[tuple[list[Element], str, int]]:
                 k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in ends or stack[k].tag in stops), 0)
                 if k and stack[k].tag in ends:
                     del stack[k:]
-            in_link = sum(e.tag == "a" for e in stack)
+            in_link = stack[-1].links
         elif tag in CELL:
             text.append(" ")
         if tag in VOID:
             continue
-        e = describe(tag, m[3], stack[-1], len(stack))
+        e = describe(tag, m[3], stack[-1])
         if tag not in BLOCK and e.noise != stack[-1].noise:
             had, n = flush()
             if had:
@@ -232,11 +247,17 @@ def blocks(html: str) -> Iterator[tuple[list[Element], str, int]]:
         yield stack, had, n
 
 
+def mostly_links(top: Element, length: int, links: int) -> bool:
+    """More than half of the text; of a paragraph, which may quote a link, nine tenths."""
+    paragraph = next((e.tag for e in line(top) if e.tag in BLOCK), "") == "p"
+    return 10 * links > (9 if paragraph else 5) * length
+
+
 def extract(html: str | None, noise_nodes: Mapping[str, bool] = MappingProxyType({})) -> str:
     """The main text of a page, given the noise nodes of its host: whether they are noise inside a mark, too."""
     out = []
     for top, text, links in page_blocks(html or ""):
-        if not text or top.noise or (not top.article and 2 * links > len(text)):
+        if not text or top.noise or (not top.article and mostly_links(top, len(text), links)):
             continue
         if noise_nodes and any(noise_nodes.get(e.node, False) if top.article else e.node in noise_nodes for e in line(top)):
             continue
