@@ -1,8 +1,8 @@
 """Byte encoders and decoders of integer streams, over Arrow batches.
 
-A batch of streams is one flat int64 array and the offsets of its records. The codecs whose bytes are a row of varints differ only
-by a transform of the numbers before (`VARINT`), and run over a whole batch at once. The others pack bits or carry state
-from value to value and run record by record (`PACKED`). Bits are written from the highest to the lowest of a byte, the last byte filled with 0.
+Columns go through `batches`, a whole batch at once, wherever it has the codec and takes the batch. Here is every codec that packs bits or
+carries state from value to value, record by record (`PACKED`): what defines the bytes, and what takes the rest: fastpfor, cascaded, huffman,
+lz77, bytes that are cut off and numbers that are too wide. Bits are written from the highest to the lowest of a byte, the last byte filled with 0.
 
 Values are 0 to 2^63 - 1. Empty streams are empty bytes. A stream that a codec can't hold (stream-vbyte from 2^32,
 simple8b-full from 2^60, huffman codes over 63 bits, rice over 2^31 bits) is null as a column and a ValueError here;
@@ -20,119 +20,20 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
 
-Offsets = np.ndarray
+from . import batches
+from .batches import DICTIONARY_MOST, RICE_MOST, RUN_LEAST, RUN_MOST, VARINT, WORD_MODES, Offsets, ends_of, need, unvarints, unzigzag, varint_sizes, varints, zigzag
+
 #: Fixed values of the formats.
-BLOCK, DICTIONARY_MOST, CASCADE_SHARE, RUN_LEAST, RUN_MOST, RICE_MOST, WINDOW, MATCH_LEAST = 128, 256, 0.01, 8, 65535, 16, 256, 3
-WORD_MODES = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
+BLOCK, CASCADE_SHARE, WINDOW, MATCH_LEAST = 128, 0.01, 256, 3
 BGZF_HEAD, BGZF_MOST = bytes.fromhex("1f8b08040000000000ff060042430200"), 65280
 BGZF_END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
 
-# Whole batches.
-
-
-def heads(off: Offsets) -> np.ndarray:
-    """Where the records that aren't empty begin."""
-    return off[:-1][off[:-1] < off[1:]]
-
-
-def zigzag(v: np.ndarray) -> np.ndarray:
-    return (v << 1) ^ (v >> 63)
-
-
-def unzigzag(v: np.ndarray) -> np.ndarray:
-    return (v.view(np.uint64) >> np.uint64(1)).view(np.int64) ^ -(v & 1)
-
-
-def before(v: np.ndarray, off: Offsets) -> np.ndarray:
-    """The value before each in its record; 0 before the first."""
-    out = np.zeros_like(v)
-    out[1:] = v[:-1]
-    out[heads(off)] = 0
-    return out
-
-
-def deltas(v: np.ndarray, off: Offsets) -> np.ndarray:
-    return v - before(v, off)
-
-
-def sums(v: np.ndarray, off: Offsets) -> np.ndarray:
-    total, at = np.cumsum(v), heads(off)
-    return total - np.repeat(total[at] - v[at], np.diff(off)[off[:-1] < off[1:]])
-
-
-def xor_sums(v: np.ndarray, off: Offsets) -> np.ndarray:
-    total, at = np.bitwise_xor.accumulate(v) if len(v) else v, heads(off)
-    return total ^ np.repeat(total[at] ^ v[at], np.diff(off)[off[:-1] < off[1:]])
-
-
-def runs(v: np.ndarray, off: Offsets) -> tuple[np.ndarray, Offsets]:
-    """Value and length of each run, in turn."""
-    new = np.ones(len(v), bool)
-    new[1:] = v[1:] != v[:-1]
-    new[heads(off)] = True
-    at = np.flatnonzero(new)
-    out = np.empty(2 * len(at), np.int64)
-    out[0::2], out[1::2] = v[at], np.diff(np.append(at, len(v)))
-    return out, 2 * np.append(0, np.cumsum(new))[off]
-
-
-def unruns(v: np.ndarray, off: Offsets) -> tuple[np.ndarray, Offsets]:
-    if (off % 2).any() or (v[1::2] < 1).any():
-        raise ValueError("bad runs")
-    return np.repeat(v[0::2], v[1::2]), np.append(0, np.cumsum(v[1::2]))[off // 2]
-
-
-def varint_sizes(v: np.ndarray) -> np.ndarray:
-    u, n = v.view(np.uint64), np.ones(len(v), np.int64)
-    for k in range(1, 10):
-        n += u >= np.uint64(1 << 7 * k)
-    return n
-
-
-def varints(v: np.ndarray, off: Offsets) -> tuple[np.ndarray, Offsets]:
-    """Seven bits a byte, the lowest first; bytes and their offsets."""
-    u, n = v.view(np.uint64), varint_sizes(v)
-    ends = np.append(0, np.cumsum(n))
-    out = np.empty(ends[-1], np.uint8)
-    for k in range(10):
-        more = np.flatnonzero(n > k)
-        if not len(more):
-            break
-        seven = ((u[more] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8)
-        out[ends[more] + k] = seven | np.where(n[more] > k + 1, 128, 0).astype(np.uint8)
-    return out, ends[off]
-
-
-def unvarints(data: np.ndarray, off: Offsets) -> tuple[np.ndarray, Offsets]:
-    ends = np.flatnonzero(data < 128)
-    at = np.searchsorted(ends, off)
-    if len(data) and (data[off[1:][off[1:] > off[:-1]] - 1] > 127).any():
-        raise ValueError("a varint is cut off")
-    starts = np.append(0, ends[:-1] + 1)[: len(ends)]
-    n = ends - starts + 1
-    if len(n) and n.max() > 10:
-        raise ValueError("a varint is too long")
-    k = np.arange(len(data)) - np.repeat(starts, n)
-    part = (data & 127).astype(np.uint64) << (7 * k).astype(np.uint64)
-    return (np.bitwise_or.reduceat(part, starts) if len(starts) else part).view(np.int64), at
-
-
-#: Transforms of (numbers, offsets) to what is written as varints, and back.
-VARINT: dict[str, tuple[Callable, Callable]] = {
-    "raw": (lambda v, o: (v, o), lambda v, o: (v, o)),
-    "zigzag-delta": (lambda v, o: (zigzag(deltas(v, o)), o), lambda v, o: (sums(unzigzag(v), o), o)),
-    "delta-of-delta": (lambda v, o: (zigzag(deltas(deltas(v, o), o)), o), lambda v, o: (sums(sums(unzigzag(v), o), o), o)),
-    "xor-delta": (lambda v, o: (v ^ before(v, o), o), lambda v, o: (xor_sums(v, o), o)),
-    "rle": (runs, unruns),
-}
-VARINT |= {"2d-delta": VARINT["zigzag-delta"], "hybrid-rle": VARINT["raw"]}
-
-
 # Record by record.
 
 
@@ -214,6 +115,8 @@ def unbit_packed(r: Reader, n: int) -> list[int]:
 
 
 def offset_width(bits: int) -> int:
+    if bits > 64:
+        raise ValueError("bad width")
     return next(w for w in (1, 2, 4, 8) if bits <= 8 * w)
 
 
@@ -572,6 +475,8 @@ def decode(name: str, data: bytes, n: int) -> list[int]:
             out = PACKED[name][1](Reader(data), n) if n else []
         except IndexError as e:
             raise ValueError(f"bad {name} bytes") from e
+        if out and (max(out) >> 63 or min(out) < 0):
+            raise ValueError(f"{name}: a value is out of range")
     else:
         raw = np.frombuffer(data, np.uint8)
         out = VARINT[name][1](*unvarints(raw, np.array([0, len(raw)])))[0].tolist()
@@ -606,21 +511,66 @@ def lists(a: pa.Array) -> tuple[np.ndarray, Offsets]:
     return np.asarray(a.flatten(), np.int64), off
 
 
+def binary_of(data: np.ndarray, off: Offsets) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(data)])
+
+
+def pieces(a: pa.Array) -> tuple[np.ndarray, Offsets]:
+    """All bytes of a BINARY column and their offsets from 0; a null looks empty."""
+    off = ends_of(np.asarray(pc.binary_length(a).fill_null(0)))
+    whole = b"".join(x for x in a.to_pylist() if x is not None)
+    return np.frombuffer(whole, np.uint8), off
+
+
+def whole(name: str) -> bool:
+    return name in VARINT or name in batches.PACKED
+
+
+def encode_all(name: str, a: pa.Array, first: pa.Array | None = None) -> pa.Array:
+    """BINARY of ARRAY<BIGINT>; null for a null stream and one that the codec can't hold. With `first`, `a` is the second stream of pairs."""
+    at_once = {"hybrid-rle": "rle"}.get(name, name) if first is not None else name
+    if whole(at_once):
+        try:
+            v, off = lists(a)
+            if first is not None and name == "2d-delta":
+                u, was = lists(first)
+                need(not first.null_count and not a.null_count and np.array_equal(off, was))
+                at_once, v = "raw", zigzag(v - u)
+            out = binary_of(*batches.encode(at_once, v, off))
+            gone = pc.is_null(a) if first is None else pc.or_(pc.is_null(a), pc.is_null(first))
+            return pc.if_else(gone, pa.scalar(None, pa.large_binary()), out) if pc.any(gone).as_py() else out
+        except batches.Unfit:
+            pass
+    if first is None:
+        return pa.array([None if x is None else tried(encode, name, x) for x in a.to_pylist()], pa.large_binary())
+    pairs = zip(first.to_pylist(), a.to_pylist(), strict=True)
+    return pa.array([None if x is None or y is None else tried(encode_second, name, x, y) for x, y in pairs], pa.large_binary())
+
+
+def decode_all(name: str, data: pa.Array, n: pa.Array) -> pa.Array:
+    """ARRAY<BIGINT> of the n values in each BINARY; null where the bytes don't hold them."""
+    if whole(name) and not data.null_count and not n.null_count:
+        try:
+            count = np.asarray(n, np.int64)
+            need(count.min(initial=0) >= 0)
+            v = batches.decode(name, *pieces(data), count)
+            return pa.LargeListArray.from_arrays(pa.array(ends_of(count)), pa.array(v))
+        except ValueError:
+            pass  # some record is bad; below it alone is null
+    rows = zip(data.to_pylist(), n.to_pylist(), strict=True)
+    return pa.array([None if x is None or m is None else tried(decode, name, x, m) for x, m in rows], pa.large_list(pa.int64()))
+
+
 def encoded(stream: Column, name: str, layer_name: str = "nocomp", level: int = 3) -> Column:
     """BINARY of an ARRAY<BIGINT>; null for a null stream and one that the codec can't hold."""
 
     @arrow_udf("binary")
     def run(a: pa.Array) -> pa.Array:
-        squeeze = layer(layer_name, level)[0]
-        if name in PACKED:
-            rows = [None if x is None else tried(encode, name, x) for x in a.to_pylist()]
-        else:
-            data, off = varints(*VARINT[name][0](*lists(a)))
-            if layer_name == "nocomp" and not a.null_count:
-                return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(data)])
-            whole, valid = data.tobytes(), np.asarray(a.is_valid())
-            rows = [whole[i:j] if ok else None for i, j, ok in zip(off[:-1], off[1:], valid, strict=True)]
-        return pa.array([None if r is None else squeeze(r) for r in rows], pa.binary())
+        out = encode_all(name, a)
+        if layer_name != "nocomp":
+            squeeze = layer(layer_name, level)[0]
+            out = pa.array([None if r is None else squeeze(r) for r in out.to_pylist()], pa.binary())
+        return out.cast(pa.binary())
 
     return run(stream)
 
@@ -630,12 +580,10 @@ def decoded(data: Column, n: Column, name: str, layer_name: str = "nocomp") -> C
 
     @arrow_udf("array<bigint>")
     def run(b: pa.Array, n: pa.Array) -> pa.Array:
-        loose = layer(layer_name)[1]
-
-        def one(x: bytes | None, m: int | None) -> list[int] | None:
-            return None if x is None or m is None else decode(name, loose(x), m)
-
-        return pa.array([tried(one, x, m) for x, m in zip(b.to_pylist(), n.to_pylist(), strict=True)], pa.list_(pa.int64()))
+        if layer_name != "nocomp":
+            loose = layer(layer_name)[1]
+            b = pa.array([None if x is None else tried(loose, x) for x in b.to_pylist()], pa.binary())
+        return decode_all(name, b, n).cast(pa.list_(pa.int64()))
 
     return run(data, n)
 
@@ -645,7 +593,7 @@ def encoded_second(first: Column, second: Column, name: str) -> Column:
 
     @arrow_udf("binary")
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([None if x is None or y is None else tried(encode_second, name, x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.binary())
+        return encode_all(name, b, a).cast(pa.binary())
 
     return run(first, second)
 
@@ -653,6 +601,13 @@ def encoded_second(first: Column, second: Column, name: str) -> Column:
 def decoded_second(first: Column, data: Column, name: str) -> Column:
     @arrow_udf("array<bigint>")
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([None if x is None or y is None else tried(decode_second, name, x, y, len(x)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.list_(pa.int64()))
+        if name != "2d-delta":
+            return decode_all("rle" if name == "hybrid-rle" else name, b, a.value_lengths()).cast(pa.list_(pa.int64()))
+        steps = decode_all("raw", b, a.value_lengths())
+        known = pc.is_valid(steps)
+        u, off = lists(pc.if_else(known, a, pa.scalar(None, a.type)))
+        v = u + unzigzag(np.asarray(steps.flatten(), np.int64))
+        out = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(v))
+        return pc.if_else(known, out, pa.scalar(None, out.type)) if steps.null_count else out
 
     return run(first, data)

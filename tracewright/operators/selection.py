@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,10 +88,10 @@ def measured(records: DataFrame, stream: str, layers: tuple[str, ...] = LAYERS,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = {k: codecs.layer(k, level)[0] for k in layers}
         for b in batches:
-            rows = [x for x in zip(*[c.to_pylist() for c in b.columns], strict=True) if x[-1]]
+            b = b.filter(pc.greater(pc.list_value_length(b.column(b.num_columns - 1)), 0))
             out = []
             for name in STRATEGIES:
-                data = [codecs.tried(codecs.encode_second, name, *x) if first else codecs.tried(codecs.encode, name, *x) for x in rows]
+                data = codecs.encode_all(name, b.column(b.num_columns - 1), b.column(0) if first else None).to_pylist()
                 for k in layers:
                     sizes = np.array([len(squeeze[k](x)) for x in data if x is not None], np.int64)
                     out.append((name, k, int(sizes.sum() + codecs.varint_sizes(sizes).sum()), sum(x is None for x in data)))
