@@ -16,14 +16,18 @@ def number(text: Column, kind: str = "bigint") -> Column:
 
 
 def parse_trace(text: Column, variant: str, lax: bool = False) -> Column:
-    """lax: empty items are dropped. ARRAY<STRUCT<a, b, op>> of `a,b;a,b` (standard, fastga), `v;v` (single), either (variable), or with items like `10I` (mixed); null if any item is malformed."""
+    """ARRAY<STRUCT<a, b, op>> of `a,b;a,b` (standard, fastga), `v;v` (single), either (variable), or with items like `10I` (mixed); null if any item is malformed.
+    lax: empty items are dropped."""
+    # signs, spaces and the like are looked for once in the whole text; then a cast takes digits with an optional plus
+    plain = variant != "mixed"
+    digits = (lambda x: x.try_cast("bigint")) if plain else number
 
     def item(x: Column) -> Column:
         part = F.split(x, ",", -1)
         one, pair = F.size(part) == 1, F.size(part) == 2
         none = F.lit(None).cast("bigint")
         op = F.lit(None).cast("string")
-        a, b = number(part[0]), F.when(pair, number(F.get(part, F.lit(1))))
+        a, b = digits(part[0]), F.when(pair, digits(F.get(part, F.lit(1))))
         if variant in ("standard", "fastga"):
             ok = pair & a.isNotNull() & b.isNotNull()
         elif variant == "single":
@@ -40,7 +44,7 @@ def parse_trace(text: Column, variant: str, lax: bool = False) -> Column:
             raise ValueError(f"unknown trace variant: {variant}")
         return F.when(ok, F.struct(a.alias("a"), b.alias("b"), op.alias("op")))
 
-    parts = F.split(text, ";", -1)
+    parts = F.split(F.when(text.rlike(r"\A[0-9+,;]*\z"), text) if plain else text, ";", -1)
     items = F.transform(F.filter(parts, lambda x: x != "") if lax else parts, item)
     return let(items, lambda t: F.when(~F.exists(t, lambda x: x.isNull()), t))
 
@@ -52,9 +56,9 @@ def format_trace(trace: Column) -> Column:
 
 def parse_cigar(text: Column) -> Column:
     """ARRAY<STRUCT<n, op>>; an operation without a usable number has length 0."""
-    pattern = r"([0-9]*)([^0-9])"
-    n, op = (F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (1, 2))
-    return F.zip_with(n, op, lambda x, o: F.struct(F.coalesce(number(x), F.lit(0).cast("bigint")).alias("n"), o.alias("op")))
+    items = F.regexp_extract_all(text, F.lit("[0-9]*[^0-9]"), F.lit(0))
+    n = lambda x: F.left(x, F.length(x) - 1).try_cast("bigint")
+    return F.transform(items, lambda x: F.struct(F.coalesce(n(x), F.lit(0).cast("bigint")).alias("n"), F.right(x, F.lit(1)).alias("op")))
 
 
 def cigar_stats(ops: Column) -> Column:
@@ -81,4 +85,4 @@ def affine_score(s: Column, mismatch: int, *pieces: tuple[int, int]) -> Column:
     """pieces: (open, extend) once, or twice for the cheaper of two for each gap."""
     cost = lambda n: F.least(*[o + e * n for o, e in pieces]) if len(pieces) > 1 else pieces[0][0] + pieces[0][1] * n
     gaps = F.concat(s["insertions"], s["deletions"])
-    return -(mismatch * s["mismatches"] + total(F.transform(gaps, lambda n: cost(n).cast("bigint"))))
+    return -(mismatch * s["mismatches"] + total(gaps, lambda n: cost(n).cast("bigint")))

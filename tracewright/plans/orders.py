@@ -25,6 +25,16 @@ def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).select("record_id", *[F.col(f"items.{c}").alias(c) for c in ("a", "b", "v")])
 
 
+def seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`(pos, name, length)` of `dictionary.names` of `named`, but only where a customer or part is first seen: keys are reduced before names join."""
+    first = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min(F.struct(*KEY)).alias("f")).select(F.col("l_orderkey").alias("record_id"), F.col("f.l_partkey").alias("p"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), "o_custkey")
+    both = F.array(*[F.struct(F.lit(k).alias("role"), F.col(x).alias("key"), (2 * F.col("record_id") + k).alias("pos")) for k, x in enumerate(("o_custkey", "p"))])
+    keys = first.join(o, "record_id").select(F.inline(both)).groupBy("role", "key").agg(F.min("pos").alias("pos"))
+    known = [table(spark, sf_dir, t).select(F.lit(k).alias("role"), F.col(f"{t[0]}_{key}").alias("key"), F.col(f"{t[0]}_name").alias("name"), F.lit(base).alias("base")) for k, (t, key, base) in enumerate((("customer", "custkey", 100000), ("part", "partkey", 1000)))]
+    return keys.join(known[0].unionByName(known[1]), ["role", "key"]).select("pos", "name", (F.col("base") + F.col("key")).cast("bigint").alias("length"))
+
+
 def named(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`(record_id, query_name, query_len, target_name, target_len, strand)`."""
     first = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min(F.struct(*KEY)).alias("f")).select(F.col("l_orderkey").alias("record_id"), F.col("f.l_partkey").alias("p"))

@@ -156,7 +156,7 @@ strings AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS id, name, CAST(length
 
 @query("string_table", f"WITH {_NAMES} SELECT id, name, length FROM strings")
 def string_table(spark, d):
-    return dictionary.string_table(dictionary.names(orders.named(spark, d)))
+    return dictionary.string_table(orders.seen(spark, d))
 
 
 @query("resolve_names", f"WITH {_NAMES} SELECT record_id, q.id AS query_name_id, query_name, q.length AS query_len, t.id AS target_name_id, target_name, t.length AS target_len FROM n JOIN strings q ON q.name = query_name JOIN strings t ON t.name = target_name")
@@ -176,7 +176,9 @@ def string_table_bytes(spark, d):
 
 @query("record_offsets", f"WITH {ITEMS}, z AS (SELECT record_id, sum({vs('a')} + {vs('b')}) AS n FROM items GROUP BY record_id) SELECT record_id, CAST(n AS BIGINT) AS length, CAST(coalesce(sum(n) OVER (ORDER BY record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM z")
 def record_offsets(spark, d):
-    sized = orders.streams(spark, d).select("record_id", (S.raw_size(F.col("a")) + S.raw_size(F.col("b"))).alias("length"))
+    a = F.col("l_quantity").cast("bigint")
+    sizes = S.varint_size(a) + S.varint_size(a + F.col("l_linenumber") % 3 - 1)
+    sized = orders.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("record_id")).agg(F.sum(sizes).alias("length"))
     return dictionary.exclusive_prefix(sized, "record_id", F.col("length"), "offset", 1 << 14).select("record_id", "length", "offset")
 
 
