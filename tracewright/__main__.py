@@ -6,6 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from .operators import seek_times
 from .operators.selection import parse_strategy
 from .plans import convert
 from .sources import container
@@ -31,6 +32,10 @@ def main(argv: list[str] | None = None) -> None:
     view.add_argument("path")
     view.add_argument("--strategies", action="store_true")
     sub.add_parser("sizes", help="bytes by section").add_argument("path")
+    seek = sub.add_parser("seek", help="times to open and to read single traces")
+    seek.add_argument("path")
+    seek.add_argument("--positions", type=int, default=100)
+    seek.add_argument("--iterations", type=int, default=100)
     a = p.parse_args(argv)
     if a.command == "view" and a.strategies:
         print(convert.strategies(a.path))
@@ -46,6 +51,9 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "view":
         for text in convert.view(spark, a.path):
             print(text)
+    elif a.command == "seek":
+        for k, v in seek_times.seek_report(spark, a.path, a.positions, a.iterations).items():
+            print(f"{k}\t{v:.3f}")
     else:
         for r in container.size_report(spark, a.path).collect():
             print(f"{r.section}\t{r.part}\t{r.bytes}\t{r.share:.4f}\t{r.average if r.average is None else round(r.average, 2)}")
