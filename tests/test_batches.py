@@ -21,6 +21,8 @@ def test_same_bytes_as_record_by_record(name, most):
     rows = streams(random.Random(most), 150)
     if name == "selective-rle":
         rows.remove([7] * 70_000)  # a run too long for one item: not for the whole batch
+    if name == "cascaded":
+        rows = [x for x in rows if C.encode(name, x)[:1] != b"\1"]  # nor are few distinct values
     v, off = np.array([y for x in rows for y in x], np.int64), B.ends_of(np.array([len(x) for x in rows]))
     data, to = B.encode(name, v, off, most)
     assert [data[a:b].tobytes() for a, b in zip(to[:-1], to[1:], strict=True)] == [C.encode(name, x) for x in rows]

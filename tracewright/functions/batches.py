@@ -14,7 +14,7 @@ import numpy as np
 
 Offsets = np.ndarray
 #: Fixed values of the formats.
-DICTIONARY_MOST, RUN_LEAST, RUN_MOST, RICE_MOST = 256, 8, 65535, 16
+DICTIONARY_MOST, CASCADE_SHARE, RUN_LEAST, RUN_MOST, RICE_MOST = 256, 0.01, 8, 65535, 16
 WORD_MODES = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 #: The widest number that fits a word of 64 bits wherever in a byte it begins.
 WIDEST = 56
@@ -338,6 +338,34 @@ def undictionary(data: np.ndarray, off: Offsets, n: np.ndarray) -> np.ndarray:
     return known[np.repeat(ends_of(count)[:-1], n) + code]
 
 
+def cascaded(v: np.ndarray, off: Offsets) -> tuple[np.ndarray, Offsets]:
+    """Differences only: streams of few distinct values aren't taken."""
+    n, z, first = np.diff(off), zigzag(deltas(v, off)), heads(off)
+    order = np.lexsort((v, np.repeat(np.arange(len(n)), n)))
+    new = np.ones(len(v), np.int64)
+    new[1:] = v[order][1:] != v[order][:-1]
+    new[first] = 1
+    count = per_record(np.add, new, off)
+    need(((n == 0) | (count / np.maximum(n, 1) >= CASCADE_SHARE) | (count > DICTIONARY_MOST)).all())
+    z[first] = v[first]
+    size = varint_sizes(z)
+    within = ends_of(size)
+    to = ends_of(np.where(n > 0, 1 + within[off[1:]] - within[off[:-1]], 0))
+    out = np.zeros(to[-1], np.uint8)
+    out[to[:-1][n > 0]] = 2
+    put_varints(out, np.repeat(to[:-1] + 1 - within[off[:-1]], n) + within[:-1], z, size)
+    return out, to
+
+
+def uncascaded(data: np.ndarray, off: Offsets, n: np.ndarray) -> np.ndarray:
+    _, at, end, n = full_records(data, off, n)
+    need((data[at] == 2).all())
+    z, to = get_rows(data, at + 1, n, end)[0], ends_of(n)
+    need((z[to[:-1]] >= 0).all())
+    z[to[:-1]] *= 2
+    return sums(unzigzag(z), to)
+
+
 def stream_vbyte(v: np.ndarray, off: Offsets) -> tuple[np.ndarray, Offsets]:
     need(not (v >> 32).any())
     n, place = np.diff(off), places(off)
@@ -521,6 +549,7 @@ def unwords(data: np.ndarray, off: Offsets, n: np.ndarray) -> np.ndarray:
 PACKED: dict[str, tuple[Callable, Callable]] = {
     "bit-packed": (bit_packed, unbit_packed), "frame-of-reference": (frame, unframe), "dictionary": (dictionary, undictionary), "stream-vbyte": (stream_vbyte, unstream_vbyte),
     "selective-rle": (selective_runs, unselective_runs), "rice": (rice, unrice), "elias-fano": (elias_fano, unelias_fano), "simple8b-full": (words, unwords),
+    "cascaded": (cascaded, uncascaded),
 }
 
 

@@ -1,8 +1,8 @@
 """Byte encoders and decoders of integer streams, over Arrow batches.
 
 Columns go through `batches`, a whole batch at once, wherever it has the codec and takes the batch. Here is every codec that packs bits or
-carries state from value to value, record by record (`PACKED`): what defines the bytes, and what takes the rest: fastpfor, cascaded, huffman,
-lz77, bytes that are cut off and numbers that are too wide. Bits are written from the highest to the lowest of a byte, the last byte filled with 0.
+carries state from value to value, record by record (`PACKED`): what defines the bytes, and what takes the rest: fastpfor, huffman, lz77,
+cascaded streams of few values, bytes that are cut off and numbers that are too wide. Bits are written from the highest to the lowest of a byte, the last byte filled with 0.
 
 Values are 0 to 2^63 - 1. Empty streams are empty bytes. A stream that a codec can't hold (stream-vbyte from 2^32,
 simple8b-full from 2^60, huffman codes over 63 bits, rice over 2^31 bits) is null as a column and a ValueError here;
@@ -26,10 +26,10 @@ from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
 
 from . import batches
-from .batches import DICTIONARY_MOST, RICE_MOST, RUN_LEAST, RUN_MOST, VARINT, WORD_MODES, Offsets, ends_of, need, unvarints, unzigzag, varint_sizes, varints, zigzag
+from .batches import CASCADE_SHARE, DICTIONARY_MOST, RICE_MOST, RUN_LEAST, RUN_MOST, VARINT, WORD_MODES, Offsets, ends_of, need, unvarints, unzigzag, varint_sizes, varints, zigzag
 
 #: Fixed values of the formats.
-BLOCK, CASCADE_SHARE, WINDOW, MATCH_LEAST = 128, 0.01, 256, 3
+BLOCK, WINDOW, MATCH_LEAST = 128, 256, 3
 BGZF_HEAD, BGZF_MOST = bytes.fromhex("1f8b08040000000000ff060042430200"), 65280
 BGZF_END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
