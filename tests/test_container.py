@@ -103,3 +103,39 @@ def test_header_codes():
         h = container.Header(Strategy(name, "zstd"), Strategy(name, "bgzip"), num_records=300, num_strings=5, distance=("gap-affine-2p", 1, 2, 3, 4, 5))
         got = container.parse_header(container.C.Reader(h.data()))
         assert got == h
+
+
+@pytest.mark.parametrize("variant", container.VARIANTS)
+@pytest.mark.parametrize("whole", [False, True])
+def test_in_order_is_decoded_by_many_tasks(spark, tmp_path, variant, whole, monkeypatch):
+    monkeypatch.setattr(container, "PIECE", 1500)
+    monkeypatch.setattr(container, "STRIDE", 64)
+    path = str(tmp_path / "x.bin")
+    container.write(spark.createDataFrame(rows(variant), SCHEMA), path, container.Header(Strategy("raw"), Strategy("rle", "zstd"), variant, all_records=whole))
+    want, positions = container.read(spark, path).orderBy("record_id").collect(), container.read_index(path + ".idx")[0]
+    assert list(container.flow(path, 7))[:-1] == positions[::7].tolist()
+    (tmp_path / "x.bin.idx").unlink()
+    got = container.read_in_order(spark, path)
+    assert got.rdd.glom().map(len).collect().count(0) == 0 and got.rdd.getNumPartitions() == 5
+    assert got.orderBy("record_id").collect() == want
+    assert not (tmp_path / "x.bin.idx").exists()
+
+
+@pytest.mark.parametrize("variant", container.VARIANTS)
+def test_skip_ends_where_reading_ends(variant):
+    h = container.Header(Strategy("raw"), Strategy("raw"), variant)
+    cols = [c.split()[0] for c in SCHEMA.split(", ")]
+    for r in rows(variant, 40):
+        row = dict(zip(cols, r, strict=True)) | {"query_name_id": 300, "target_name_id": 1 << 40}
+        row["trace"] = [dict(zip(("a", "b", "op"), x, strict=True)) for x in row["trace"] * 40]
+        row["tags"] = [dict(zip(("key", "type", "i", "f", "s"), t, strict=True)) for t in row["tags"]] + [{"key": "zz", "type": "Z", "i": None, "f": None, "s": "x" * 200}]
+        data = container.write_record(row, h)
+        for read in (container.read_record, container.skip_record):
+            reader = container.C.Reader(data + b"more")
+            read(reader, h)
+            assert reader.at == len(data)
+            for cut in (0, 5, len(data) // 2, len(data) - 1):
+                with pytest.raises(ValueError):
+                    read(container.C.Reader(data[:cut]), h)
+            with pytest.raises(ValueError, match="unknown type of tag"):
+                read(container.C.Reader(data[:-203] + b"q" + data[-202:]), h)

@@ -10,9 +10,12 @@ rejected and counted. Names and ids are those of `operators.dictionary.string_ta
 
 from __future__ import annotations
 
+import re
 import struct
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,9 @@ MAGIC, VERSION, INDEX_MAGIC, INDEX_VERSION = b"TPA\0", 1, b"TPAI", 2
 DISTANCES = {"edit": 0, "gap-affine": 3, "gap-affine-2p": 5}  # numbers that follow
 #: Our own numbering: the format's is not published.
 VARIANTS, METRICS = ("standard", "mixed", "variable", "fastga", "single"), ("edit-distance", "diagonal-distance")
-PIECE, SLICE = 4 << 20, 65536
+PIECE, SLICE, STRIDE = 4 << 20, 65536, 16384
 HEAD = ("query_name_id", "query_start", "query_end", "strand", "target_name_id", "target_start", "target_end", "residue_matches", "alignment_block_len", "mapping_quality")
+SPAN = "first bigint, last bigint, start bigint, stop bigint"
 SCHEMA = "record_id bigint, query_name_id bigint, query_start bigint, query_end bigint, strand string, target_name_id bigint, target_start bigint, target_end bigint, residue_matches bigint, alignment_block_len bigint, mapping_quality smallint, trace array<struct<a:bigint,b:bigint,op:string>>, tags array<struct<key:string,type:string,i:int,f:float,s:string>>"
 
 
@@ -143,9 +147,13 @@ def read_trace(r: C.Reader, h: Header) -> list[dict]:
     return [item(next(size), None, next(ops)) if f else item(next(a), next(b)) for f in flags]
 
 
+#: Pieces of a trace that come with their lengths.
+LENGTHS = {"single": 1, "standard": 2, "fastga": 2, "variable": 3, "mixed": 5}
+
+
 def skip_trace(r: C.Reader, h: Header) -> None:
     r.varint()
-    for _ in range({"single": 1, "standard": 2, "fastga": 2, "variable": 3, "mixed": 5}[h.variant]):
+    for _ in range(LENGTHS[h.variant]):
         r.bytes(r.varint())
 
 
@@ -183,6 +191,45 @@ def read_record(r: C.Reader, h: Header, metadata_only: bool = False) -> dict:
     return out
 
 
+_VARINT = rb"[\x80-\xff]{0,9}[\x00-\x7f]"
+#: What comes before the pieces of a trace.
+_BEFORE = re.compile(b"".join(b"." if c in ("strand", "mapping_quality") else _VARINT for c in HEAD) + _VARINT, re.DOTALL)
+
+
+def skip_record(r: C.Reader, h: Header) -> None:
+    """The reader's place after a record whose values aren't read."""
+    data, found = r.data, _BEFORE.match(r.data, r.at)
+    if not found:
+        raise ValueError("bytes are cut off")
+    to = found.end()
+
+    def number() -> int:
+        nonlocal to
+        n = data[to]
+        if n < 128:
+            to += 1
+            return n
+        r.at = to
+        n, to = r.varint(), r.at
+        return n
+
+    try:
+        for _ in range(LENGTHS[h.variant]):
+            n = number()
+            to += n
+        for _ in range(number()):
+            kind, to = data[to + 2], to + 3
+            if kind not in b"ifZ":
+                raise ValueError(f"unknown type of tag: {chr(kind)}")
+            n = number() if kind == ord("Z") else 4
+            to += n
+    except IndexError as e:
+        raise ValueError("bytes are cut off") from e
+    if to > len(data):
+        raise ValueError("bytes are cut off")
+    r.at = to
+
+
 # Files.
 
 
@@ -349,7 +396,13 @@ def read(spark: SparkSession, path: str, ids: list[int] | None = None, metadata_
     spans = [(k, min(k + SLICE, len(positions))) for k in range(0, len(positions), SLICE)] if ids is None else [(k, k + 1) for k in sorted(set(ids))]
     edge = lambda k: int(positions[k]) if k < len(positions) else (end << 16 if virtual else end)
     rows = [(i, j, edge(i), edge(j)) for i, j in spans]
-    parts = spark.createDataFrame(rows, "first bigint, last bigint, start bigint, stop bigint").repartition(max(1, min(len(rows), 4096)))
+    return read_spans(spark.createDataFrame(rows, SPAN).repartition(max(1, min(len(rows), 4096))), path, metadata_only)
+
+
+def read_spans(spans: DataFrame, path: str, metadata_only: bool = False) -> DataFrame:
+    """The records from `first` to before `last`, which lie between the positions `start` and `stop`."""
+    h, _ = read_header(path)
+    virtual = h.all_records
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -368,7 +421,7 @@ def read(spark: SparkSession, path: str, ids: list[int] | None = None, metadata_
                             yield pa.RecordBatch.from_pylist(out, ARROW)
                             out = []
 
-    return parts.mapInArrow(run, SCHEMA)
+    return spans.mapInArrow(run, SCHEMA)
 
 
 _TRACE = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("op", pa.string())]))
@@ -504,12 +557,12 @@ class Flow:
         place = self.before + self.reader.at
         if not self.virtual:
             return place
-        n, start = next(b for b in reversed(self.blocks) if b[0] <= place)
+        n, start = self.blocks[bisect_right(self.blocks, place, key=itemgetter(0)) - 1]
         return start << 16 | place - n
 
 
-def flow(path: str, metadata_only: bool = False) -> Iterator[tuple[int, dict]]:
-    """(position, record) of all records in order, without an index; memory is that of a part of the file."""
+def flow(path: str, every: int = 1) -> Iterator[int]:
+    """Positions of record 0, `every`, 2 * `every` and so on, and of the end of the last, from front to back without an index; memory is that of a part of the file."""
     h, start = read_header(path)
     store, name = at(path)
     with store.open_input_file(name) as f:
@@ -517,30 +570,34 @@ def flow(path: str, metadata_only: bool = False) -> Iterator[tuple[int, dict]]:
         for _ in range(h.num_strings):
             names_.take(lambda r: (r.bytes(r.varint()), r.varint()))
         records = Flow(f, names_.position(), True) if h.all_records else names_
-        for _ in range(h.num_records):
-            yield records.position(), records.take(lambda r: read_record(r, h, metadata_only))
+        for k in range(h.num_records):
+            if k % every == 0:
+                yield records.position()
+            records.take(lambda r: skip_record(r, h))
+        yield records.position()
 
 
 def read_in_order(spark: SparkSession, path: str, metadata_only: bool = False) -> DataFrame:
-    """`read` without an index: one task, from front to back."""
+    """`read` without an index: one task goes from front to back and finds where every `STRIDE`th record begins, and many decode what lies between."""
+    h, _ = read_header(path)
+    every = STRIDE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for k, (_, record) in enumerate(flow(path, metadata_only) if len(b) else ()):
-                out.append({"record_id": k, **record})
-                if len(out) == 4096:
-                    yield pa.RecordBatch.from_pylist(out, ARROW)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_pylist(out, ARROW)
+            if not len(b):
+                continue
+            edges = np.fromiter(flow(path, every), np.int64)
+            first = np.arange(len(edges) - 1) * every
+            columns = first, np.minimum(first + every, h.num_records), edges[:-1], edges[1:]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["first", "last", "start", "stop"])
 
-    return spark.range(0, 1, 1, 1).mapInArrow(run, SCHEMA)
+    parts = -(-h.num_records // every)
+    return read_spans(spark.range(0, 1, 1, 1).mapInArrow(run, SPAN).repartition(max(1, min(parts, 4096))), path, metadata_only)
 
 
 def build_index(path: str) -> np.ndarray:
     """Positions of a container without an index; eight bytes a record."""
-    return np.fromiter((position for position, _ in flow(path, True)), np.int64)
+    return np.fromiter(flow(path), np.int64)[:-1]
 
 
 def open_index(path: str) -> np.ndarray:
