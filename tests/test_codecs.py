@@ -43,6 +43,15 @@ def test_known_bytes():
     assert C.encode("cascaded", [9] * 300 + [4]) == b"\1\x02\x09\x04\x00\xff\x00\x2d\x01\x01"
 
 
+def test_offsets_over_two_bytes(spark):
+    """Offsets over 65,535 take four bytes, whole, and the size expression says so."""
+    x = [70005, 5, 65541]
+    want = bytes([5, 17, 0x70, 0x11, 1, 0, 0, 0, 0, 0, 0, 0, 1, 0])
+    assert C.encode("frame-of-reference", x) == want and C.decode("frame-of-reference", want, 3) == x
+    df = spark.createDataFrame([(x,)], "x array<bigint>")
+    assert df.select(C.encoded(F.col("x"), "frame-of-reference"), S.SIZES["frame-of-reference"](F.col("x"))).first()[:] == (want, len(want))
+
+
 def test_out_of_range():
     for name, v in (("stream-vbyte", 1 << 32), ("simple8b-full", 1 << 60), ("rice", 1 << 62)):
         with pytest.raises(ValueError):
