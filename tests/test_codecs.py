@@ -52,6 +52,13 @@ def test_offsets_over_two_bytes(spark):
     assert df.select(C.encoded(F.col("x"), "frame-of-reference"), S.SIZES["frame-of-reference"](F.col("x"))).first()[:] == (want, len(want))
 
 
+def test_patched_offsets_over_two_bytes():
+    """Offsets over 65,535 are varints there, of one to five bytes."""
+    x = [70005, 5, 65541]
+    want = bytes([3, 5, 17, 0, 0xF0, 0xA2, 4, 0, 0x80, 0x80, 4])
+    assert C.encode("fastpfor", x) == want and C.decode("fastpfor", want, 3) == x
+
+
 def test_out_of_range():
     for name, v in (("stream-vbyte", 1 << 32), ("simple8b-full", 1 << 60), ("rice", 1 << 62)):
         with pytest.raises(ValueError):
