@@ -75,6 +75,21 @@ def test_layers(name):
         assert loose(squeeze(data)) == data
 
 
+def test_kept_compressors_and_few_numbers_give_the_same():
+    import zstandard
+
+    rng = random.Random(7)
+    for _ in range(300):
+        data, level = bytes(rng.choice((0, 1, 127, 128, 255)) for _ in range(rng.randrange(60))), rng.choice((1, 3, 9))
+        squeeze, loose = C.layer("zstd", level)
+        z = squeeze(data)
+        assert z == zstandard.ZstdCompressor(level=level).compress(data)
+        C.tried(loose, z[: rng.randrange(len(z))])
+        assert loose(z) == data  # after a damaged frame, too
+        many = C.tried(C.unvarints, np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        assert C.tried(C.few_numbers, data) == (None if many is None else many[0].tolist())
+
+
 def test_second():
     a, b = [5, 7, 100], [6, 0, 100]
     for name in ALL:

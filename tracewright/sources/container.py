@@ -132,7 +132,8 @@ def read_trace(r: C.Reader, h: Header) -> list[dict]:
     def stream(s: Strategy, m: int, data: bytes, first=None) -> list[int]:
         if not data and not m:
             return []
-        data = C.layer("nocomp" if h.all_records else s.layer)[1](data)
+        if s.layer != "nocomp" and not h.all_records:
+            data = C.layer(s.layer)[1](data)
         return C.decode(s.name, data, m) if first is None else C.decode_second(s.name, first, data, m)
 
     item = lambda a, b=None, op=None: {"a": a, "b": b, "op": op}
@@ -172,11 +173,12 @@ def write_tag(key: str, kind: str, i: int | None, f: float | None, s: str | None
 
 
 def read_tag(r: C.Reader) -> dict:
-    key, kind = r.bytes(2).decode(), r.bytes(1).decode()
+    head = r.bytes(3)
+    key, kind = head[:2].decode(), chr(head[2])
     if kind not in "ifZ":
         raise ValueError(f"unknown type of tag: {kind}")
-    i, f = (struct.unpack("<" + kind, r.bytes(4))[0] if kind == k else None for k in "if")
-    return {"key": key, "type": kind, "i": i, "f": f, "s": r.bytes(r.varint()).decode() if kind == "Z" else None}
+    value = r.bytes(r.varint()).decode() if kind == "Z" else struct.unpack("<" + kind, r.bytes(4))[0]
+    return {"key": key, "type": kind, "i": value if kind == "i" else None, "f": value if kind == "f" else None, "s": value if kind == "Z" else None}
 
 
 def write_parts(numbers: list | tuple, trace: list[list], tags: list[tuple], h: Header) -> bytes:
