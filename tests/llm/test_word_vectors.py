@@ -1,5 +1,7 @@
 """Word vectors are sums over all documents, not only over those the network is fitted on."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 
@@ -30,3 +32,34 @@ def test_vectors_of_all_documents(spark, monkeypatch):
         assert np.array_equal(own.sums(), context)
     want = context / (np.linalg.norm(context, axis=1, keepdims=True) + 1e-6) + index / np.sqrt(6).astype(np.float32)
     assert np.allclose(qc.fit(docs, labels, fit_rows=8).vectors, want, atol=1e-5)
+
+
+def test_sums_do_not_depend_on_chunks(monkeypatch):
+    texts = [f"text {i} of the Same same SAME words, {i % 3} more" for i in range(40)] + [None, "", "one"]
+    want = brute_sums(texts, qc.index_vectors())
+    for chunk, part, most in ((1, 1, 5), (3, 100, 1000), (7, 1_000_000, 20)):
+        monkeypatch.setattr(qc, "CHUNK", chunk)
+        monkeypatch.setattr(qc, "PART", part)
+        monkeypatch.setattr(qc, "MOST_PAIRS", most)
+        own = qc.ContextSums()
+        own.add(pa.array(texts, pa.string()))
+        assert np.array_equal(own.sums(), want)
+
+
+def test_memory_of_sums_and_pooling_is_bounded():
+    words = np.random.default_rng(5).integers(100, 30_000, (2_000, 400))
+    texts = pa.array([" ".join(map(str, row)) for row in words])
+    vectors = qc.index_vectors()
+    tracemalloc.start()
+    try:
+        own = qc.ContextSums()
+        own.add(texts)
+        own.sums()
+        of_sums = tracemalloc.get_traced_memory()[1]
+        del own
+        tracemalloc.reset_peak()
+        qc.pool(texts, vectors)
+        of_pool = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert of_sums < 64e6 and of_pool < 48e6, (of_sums, of_pool)

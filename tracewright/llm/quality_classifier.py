@@ -34,6 +34,8 @@ from .shared import table
 
 BITS, DIM, HIDDEN, FIT_ROWS, THRESHOLD, WINDOW = 14, 64, 24, 8000, 0.7, 2
 BUCKETS, MOST_PAIRS = 1 << BITS, 4_000_000
+#: Pairs that are added at once, and bytes of texts whose words are found at once: what a task holds beside its batch follows these.
+CHUNK, PART = 250_000, 250_000
 #: Buckets of the words for shapes.
 UPPER, TITLE, SAME, RESERVED = 0, 1, 2, 8
 SLICES = 64
@@ -91,37 +93,46 @@ def word_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 class ContextSums:
     """The sum of neighbours' index vectors by bucket. Neighbours are counted as pairs of buckets first: a sum takes as many
-    additions as there are distinct pairs. `MOST_PAIRS` of them wait at most, so memory is bounded."""
+    additions as there are distinct pairs. `MOST_PAIRS` of them wait at most, and are added `CHUNK` by `CHUNK`, so memory is bounded.
+    All sums are of whole numbers, so they are exact in any order."""
 
     def __init__(self, dim: int = DIM):
         self.places, self.signs = index_places(dim=dim)
-        self.dim, self.total, self.keys, self.n = dim, np.zeros(BUCKETS * dim), [], 0
+        self.dim, self.total, self.keys, self.n = dim, np.zeros(BUCKETS * dim), np.empty(MOST_PAIRS, np.uint32), 0
 
     def add(self, texts: pa.Array) -> None:
-        for a, b in parts(texts):
+        for a, b in parts(texts, PART):
             w, doc = word_buckets(texts[a:b])
             w = w.astype(np.uint32)
             for k in range(1, WINDOW + 1):
-                for at in range(0, max(0, len(w) - k), MOST_PAIRS):  # bounds memory for very long texts
-                    first, second = slice(at, min(at + MOST_PAIRS, len(w) - k)), slice(at + k, min(at + MOST_PAIRS + k, len(w)))
-                    keys = (w[first] << BITS | w[second])[doc[first] == doc[second]]
-                    self.keys.append(keys)
-                    self.n += len(keys)
-                    if self.n >= MOST_PAIRS:
-                        self.flush()
+                for at in range(0, max(0, len(w) - k), CHUNK):  # bounds memory for very long texts
+                    first, second = slice(at, min(at + CHUNK, len(w) - k)), slice(at + k, min(at + CHUNK + k, len(w)))
+                    self._wait((w[first] << BITS | w[second])[doc[first] == doc[second]])
+
+    def _wait(self, keys: np.ndarray) -> None:
+        while len(keys):
+            some = keys[: len(self.keys) - self.n]
+            self.keys[self.n : self.n + len(some)] = some
+            self.n += len(some)
+            keys = keys[len(some) :]
+            if self.n == len(self.keys):
+                self.flush()
 
     def flush(self) -> None:
-        if not self.n:
-            return
-        keys = np.sort(np.concatenate(self.keys))
+        self.keys[: self.n].sort()
+        for at in range(0, self.n, CHUNK):  # a pair on both sides of a cut is added twice, with a part of its count each time
+            self._sum(self.keys[at : min(at + CHUNK, self.n)])
+        self.n = 0
+
+    def _sum(self, keys: np.ndarray) -> None:
+        """keys: sorted."""
         at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         count = np.diff(np.append(at, len(keys))).astype(np.float64)
         one, other = (keys[at] >> BITS).astype(np.int64), (keys[at] & (BUCKETS - 1)).astype(np.int64)
         for x, y in ((one, other), (other, one)):
             row = x * self.dim
             for place, sign in zip(self.places, self.signs, strict=True):
-                self.total += np.bincount(row + place[y], weights=count * sign[y], minlength=len(self.total))
-        self.keys, self.n = [], 0
+                np.add.at(self.total, row + place[y], count * sign[y])
 
     def sums(self) -> np.ndarray:
         self.flush()
@@ -131,7 +142,7 @@ class ContextSums:
 def pool(texts: pa.Array, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The mean vector of each text and its number of words."""
     n, total = np.zeros(len(texts)), np.zeros((len(texts), vectors.shape[1]))
-    for a, b in parts(texts):
+    for a, b in parts(texts, PART):
         w, doc = word_buckets(texts[a:b])
         n[a:b] = np.bincount(doc, minlength=b - a)
         for at in range(0, len(w), 50_000):
