@@ -1,10 +1,12 @@
 """A word's hash doesn't depend on what else is in its batch."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from tracewright.llm import lm_scoring, ngram_join, quality_classifier
+from tracewright.llm import hashing, lm_scoring, ngram_join, quality_classifier
 from tracewright.llm.hashing import KIND, WORD_KIND, runs, text_bytes
 
 BASE = " ".join(f"word{i}" for i in range(80))
@@ -39,3 +41,23 @@ def test_copies_link_beside_long_runs(spark):
     df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id bigint, text string")
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(df, 3, 90).collect()}
     assert got == want
+
+
+def test_hashes_do_not_depend_on_slices(monkeypatch):
+    texts = pa.array([BASE, None, *LONG, "", NEAR])
+    want = runs(*text_bytes(texts))
+    for most in (1, 7, 1000):
+        monkeypatch.setattr(hashing, "SLICE", most)
+        assert all(np.array_equal(a, b) for a, b in zip(runs(*text_bytes(texts)), want, strict=True))
+
+
+def test_memory_of_shingle_sets_is_bounded():
+    words = np.random.default_rng(6).integers(100, 30_000, (1_200, 500))
+    texts = pa.array([" ".join(map(str, row)) for row in words])
+    tracemalloc.start()
+    try:
+        sets = ngram_join.shingle_sets(texts, 5)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak - sum(s.nbytes for s in sets) < 32e6

@@ -1,10 +1,12 @@
 """Word vectors are sums over all documents, not only over those the network is fitted on."""
 
+import functools
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 
+from tracewright.llm import hashing
 from tracewright.llm import quality_classifier as qc
 
 
@@ -39,7 +41,7 @@ def test_sums_do_not_depend_on_chunks(monkeypatch):
     want = brute_sums(texts, qc.index_vectors())
     for chunk, part, most in ((1, 1, 5), (3, 100, 1000), (7, 1_000_000, 20)):
         monkeypatch.setattr(qc, "CHUNK", chunk)
-        monkeypatch.setattr(qc, "PART", part)
+        monkeypatch.setattr(qc, "parts", functools.partial(hashing.parts, most=part))
         monkeypatch.setattr(qc, "MOST_PAIRS", most)
         own = qc.ContextSums()
         own.add(pa.array(texts, pa.string()))

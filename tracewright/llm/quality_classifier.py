@@ -34,8 +34,8 @@ from .shared import table
 
 BITS, DIM, HIDDEN, FIT_ROWS, THRESHOLD, WINDOW = 14, 64, 24, 8000, 0.7, 2
 BUCKETS, MOST_PAIRS = 1 << BITS, 4_000_000
-#: Pairs that are added at once, and bytes of texts whose words are found at once: what a task holds beside its batch follows these.
-CHUNK, PART = 250_000, 250_000
+#: Pairs that are added at once.
+CHUNK = 250_000
 #: Buckets of the words for shapes.
 UPPER, TITLE, SAME, RESERVED = 0, 1, 2, 8
 SLICES = 64
@@ -101,7 +101,7 @@ class ContextSums:
         self.dim, self.total, self.keys, self.n = dim, np.zeros(BUCKETS * dim), np.empty(MOST_PAIRS, np.uint32), 0
 
     def add(self, texts: pa.Array) -> None:
-        for a, b in parts(texts, PART):
+        for a, b in parts(texts):
             w, doc = word_buckets(texts[a:b])
             w = w.astype(np.uint32)
             for k in range(1, WINDOW + 1):
@@ -142,7 +142,7 @@ class ContextSums:
 def pool(texts: pa.Array, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The mean vector of each text and its number of words."""
     n, total = np.zeros(len(texts)), np.zeros((len(texts), vectors.shape[1]))
-    for a, b in parts(texts, PART):
+    for a, b in parts(texts):
         w, doc = word_buckets(texts[a:b])
         n[a:b] = np.bincount(doc, minlength=b - a)
         for at in range(0, len(w), 50_000):
